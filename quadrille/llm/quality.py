@@ -105,9 +105,9 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float, rounds: int = 250, rate: f
         g, gb = x.T @ (p - y) / len(y) + l2 * w, float((p - y).mean())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        fix = np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
+        fix = float(np.sqrt(1 - 0.999**t) / (1 - 0.9**t))  # a numpy scalar would widen the arrays
         w -= rate * fix * m / (np.sqrt(v) + 1e-8)
-        b -= rate * fix * mb / (np.sqrt(vb) + 1e-8)
+        b -= rate * fix * mb / (vb**0.5 + 1e-8)
     return w, b
 
 
