@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quadrille.llm import bpe, language_id, packing, quality, toxicity
+from quadrille.llm import bpe, jaccard_join, language_id, packing, quality, toxicity
 
 QUERIES: dict = {
     "op2_best_fit_packing": packing.query,
     "op3_quality_rules": quality.query,
+    "op5_ngram_jaccard_join": jaccard_join.query,
     "op6_byte_level_bpe": bpe.query,
     "op7_language_id": language_id.query,
     "op10_toxicity": toxicity.query,
