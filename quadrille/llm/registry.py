@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quadrille.llm import bpe, jaccard_join, language_id, packing, quality, toxicity
+from quadrille.llm import bpe, jaccard_join, language_id, packing, quality, toxicity, warc
 
 QUERIES: dict = {
+    "op1_warc": warc.query,
     "op2_best_fit_packing": packing.query,
     "op3_quality_rules": quality.query,
     "op5_ngram_jaccard_join": jaccard_join.query,
@@ -12,4 +13,6 @@ QUERIES: dict = {
     "op7_language_id": language_id.query,
     "op10_toxicity": toxicity.query,
 }
-ORACLES: dict = {}
+ORACLES: dict = {
+    "op1_warc": warc.ORACLE_SQL,
+}
