@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from quadrille.llm.common import stored, table
 
 SAMPLES = 16
+#: Stands for a null id.
+NO_ID = -(1 << 63)
+#: Characters of a partition, so that its terms are counted in memory; partitions at most.
+CHARACTERS, PARTITIONS = 4_000_000, 100_000
 
 
 def unit(h: F.Column, shift: int, bits: int) -> F.Column:
@@ -41,13 +45,16 @@ def sample(term: F.Column, log_weight: F.Column, k: int) -> F.Column:
 
 
 def fingerprints(texts: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """keys, and for each text column c_0 ... c_{SAMPLES - 1}. texts should be partitioned by the keys."""
+    """keys, and c_print for each of the (at most two) text columns c. texts should be partitioned by the keys: then
+    nothing moves. The lowest bit of a term's hash says which column it is from."""
     words = lambda c: F.split(F.replace(F.col(c), F.lit("\n"), F.lit(" ")), " ")
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("version"), words(c).alias("words")) for i, c in enumerate(columns)]))
+    each = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("version"), words(c).alias("words")) for i, c in enumerate(columns)]))
     rows = texts.select(*keys, each.alias("e")).select(*keys, "e.version", F.explode("e.words").alias("word"))
-    terms = rows.select(*keys, "version", F.xxhash64("word").alias("term")).groupBy(*keys, "version", "term").count()
-    weight = F.log(F.col("count").cast("double"))
-    parts = terms.groupBy(*keys, "version").agg(*[F.min(sample(F.col("term"), weight, k)).alias(f"s{k}") for k in range(SAMPLES)])
+    term = F.xxhash64("word").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("version"))
+    terms = rows.select(*keys, term.alias("term")).groupBy(*keys, "term").count()
+    terms = terms.select(*keys, F.col("term").bitwiseAND(F.lit(1)).alias("version"), F.col("term").bitwiseAND(F.lit(-2)).alias("term"),
+                         F.log(F.col("count").cast("double")).alias("weight"))
+    parts = terms.groupBy(*keys, "version").agg(*[F.min(sample(F.col("term"), F.col("weight"), k)).alias(f"s{k}") for k in range(SAMPLES)])
     low = lambda k: F.col(f"s{k}").bitwiseAND(F.lit((1 << 32) - 1))
     parts = parts.select(*keys, "version", F.array(*[low(k) for k in range(SAMPLES)]).alias("print"))
     pick = lambda i: F.max(F.when(F.col("version") == i, F.col("print")))
@@ -66,7 +73,7 @@ def shown(c: str) -> F.Column:
 
 def keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("at"), F.xxhash64(text).alias("of"), text.alias("text"))
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("at"), F.xxhash64(text).alias("of"), text.alias("text"))
 
 
 def followers(keys: DataFrame) -> DataFrame:
@@ -84,29 +91,34 @@ def followers(keys: DataFrame) -> DataFrame:
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """doc_id, at, of, n_chars, copies, next_at, next_of, text, edited; partitioned by at and of."""
+    """at, of, n_chars, copies, next_at, next_of, text, edited: a row for each document in the order,
+    partitioned by at and of. Texts move once, what the edit takes from them once more."""
     rows = keyed(docs)
     keys = rows.groupBy("at", "of").agg(F.max(F.char_length("text")).cast("long").alias("n_chars"), F.count("*").alias("copies"))
     order = stored(followers(keys), "order")
+    size = order.agg(F.sum("n_chars").alias("n"), F.max("copies").alias("copies")).first()
+    rows = rows.repartition(min(PARTITIONS, max(1, -(-(size["n"] or 0) // CHARACTERS))), "at", "of")
+    if (size["copies"] or 1) > 1:
+        rows = rows.groupBy("at", "of").agg(F.first("text").alias("text"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     asked = order.select(F.col("next_at").alias("at"), F.col("next_of").alias("of"), F.col("at").alias("for_at"), F.col("of").alias("for_of"), quarter.alias("wanted"))
-    if not order.where("copies > 1").isEmpty():
-        rows = rows.groupBy("at", "of").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
-    given = rows.join(asked, ["at", "of"]).select(F.col("for_at").alias("at"), F.col("for_of").alias("of"), F.substring("text", F.lit(1), F.col("wanted")).alias("given"))
+    given = rows.join(asked, ["at", "of"]).select(
+        F.col("for_at").alias("at"), F.col("for_of").alias("of"), F.substring("text", F.lit(1), F.col("wanted")).alias("given"))
     whole = rows.join(order, ["at", "of"]).join(given, ["at", "of"])
     kept = F.substring("text", F.lit(1), (F.col("n_chars") - quarter).cast("int"))
-    return whole.select("doc_id", "at", "of", "n_chars", "copies", "next_at", "next_of", "text", F.concat(kept, "given").alias("edited"))
+    return whole.select("at", "of", "n_chars", "copies", "next_at", "next_of", "text", F.concat(kept, "given").alias("edited"))
 
 
 def compared(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    rows = edited(docs).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    keys = ["at", "of", "doc_id", "n_chars", "copies", "next_at", "next_of", "edited_sha256"]
-    prints = stored(fingerprints(rows, keys, ["text", "edited"]), "prints")
+    rows = edited(docs)
+    prints = fingerprints(rows, ["at", "of"], ["text", "edited"])
+    rows = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).drop("text", "edited")
+    prints = stored(rows.join(prints, ["at", "of"]), "prints")
     following = prints.select(F.col("at").alias("next_at"), F.col("of").alias("next_of"), F.col("text_print").alias("next_print"))
     both = prints.join(following, ["next_at", "next_of"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return both.select(
-        "doc_id", "n_chars", "edited_sha256", shown("text_print").alias("fingerprint"), shown("edited_print").alias("edited_fingerprint"),
+        F.nullif("at", F.lit(NO_ID)).alias("doc_id"), "n_chars", "edited_sha256", shown("text_print").alias("fingerprint"), shown("edited_print").alias("edited_fingerprint"),
         likeness("text_print", "edited_print").alias("near_edited"), likeness("text_print", "next_print").alias("near_next"))
 
 
