@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quadrille.llm import bpe, fingerprints, jaccard_join, language_id, packing, quality, toxicity, warc
+from quadrille.llm import bpe, fingerprints, jaccard_join, language_id, licenses, packing, quality, toxicity, warc
 
 QUERIES: dict = {
     "op1_warc": warc.query,
     "op2_best_fit_packing": packing.query,
     "op3_quality_rules": quality.query,
+    "op4_license_scans": licenses.query,
     "op5_ngram_jaccard_join": jaccard_join.query,
     "op6_byte_level_bpe": bpe.query,
     "op7_language_id": language_id.query,
