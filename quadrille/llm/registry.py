@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrille.llm import bpe, fingerprints, jaccard_join, language_id, licenses, packing, quality, toxicity, warc
+from quadrille.llm import bpe, fingerprints, html_text, jaccard_join, language_id, licenses, packing, quality, toxicity, warc
 
 QUERIES: dict = {
     "op1_warc": warc.query,
@@ -12,6 +12,7 @@ QUERIES: dict = {
     "op5_ngram_jaccard_join": jaccard_join.query,
     "op6_byte_level_bpe": bpe.query,
     "op7_language_id": language_id.query,
+    "op8_html_extraction": html_text.query,
     "op9_document_fingerprints": fingerprints.query,
     "op10_toxicity": toxicity.query,
 }
