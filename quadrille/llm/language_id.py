@@ -13,11 +13,12 @@ read whole, in blocks.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import fold, map_rows, table
+from quadrille.llm.common import fold, map_rows, small_batches, table
 
 DIM = 2048
 FIT_ROWS = 4000
@@ -91,25 +92,42 @@ def fit(rows: DataFrame, most: int = FIT_ROWS) -> dict:
     return {"langs": names, "least": least, "centroids": np.concatenate(parts).astype(np.float32), "idf": idf}
 
 
-def predict(docs: DataFrame, model: dict, carry: list[str]) -> DataFrame:
-    """The columns `carry` with lang_pred, score and rejected."""
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
+def judged(texts: list[str | None], model: dict) -> tuple[list[str], list[float], list[bool]]:
+    """Language, score and rejection of each text."""
+    lang, score, out = [], [], []
+    for text in texts:
+        if text is None or not model["langs"] or not LETTER.search(text):
+            lang.append("und"), score.append(0.0), out.append(True)
+            continue
+        sims = model["centroids"] @ weighted(grams(text)[None], model["idf"])[0]
+        best = int(np.argmax(sims))
+        lang.append(model["langs"][best])
+        score.append(float(min(1.0, max(0.0, sims[best]))))
+        out.append(bool(sims[best] < model["least"][best]))
+    return lang, score, out
+
+
+def predict(docs: DataFrame, model: dict) -> DataFrame:
+    """doc_id, lang_pred, score, rejected."""
 
     def work(batch):
-        lang, score, out = [], [], []
-        for text in batch.column("__text").to_pylist():
-            if text is None or not model["langs"] or not LETTER.search(text):
-                lang.append("und"), score.append(0.0), out.append(True)
-                continue
-            sims = model["centroids"] @ weighted(grams(text)[None], model["idf"])[0]
-            best = int(np.argmax(sims))
-            lang.append(model["langs"][best])
-            score.append(float(min(1.0, max(0.0, sims[best]))))
-            out.append(bool(sims[best] < model["least"][best]))
-        return {**{c: batch.column(c) for c in carry}, "lang_pred": lang, "score": score, "rejected": out}
-
-    extra = "lang_pred string, score double, rejected boolean"
-    return map_rows(docs.select(*carry, F.col("text").alias("__text")), f"{types}, {extra}", work)
+        lang, score, out = judged(batch.column("text").to_pylist(), model)
+        return {"doc_id": batch.column("doc_id"), "lang_pred": lang, "score": score, "rejected": out}
+
+    return map_rows(docs.select("doc_id", "text"), "doc_id long, lang_pred string, score double, rejected boolean", work)
+
+
+def accepted(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows, with all their columns, that aren't rejected. Without a fit set nothing can be told apart: all rows."""
+    if not model["langs"]:
+        return docs
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("boolean")
+    def keep(texts: pd.Series) -> pd.Series:
+        return pd.Series([not x for x in judged(texts.tolist(), model)[2]], dtype=bool)
+
+    return docs.where(keep("text"))
 
 
 def fit_fold(docs: DataFrame) -> dict:
@@ -119,5 +137,5 @@ def fit_fold(docs: DataFrame) -> dict:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return predict(docs, fit_fold(docs), ["doc_id"]).select(
+    return predict(docs, fit_fold(docs)).select(
         "doc_id", (F.coalesce(fold(), F.lit(0)) == 1).alias("held_out"), "lang_pred", "score", "rejected")

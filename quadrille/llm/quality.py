@@ -15,10 +15,11 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import map_rows, sample_ids, table
+from quadrille.llm.common import map_rows, sample_ids, small_batches, table
 
 WORD_DIM, CHAR_DIM = 2048, 2048
 FIT_ROWS = 3000
@@ -141,30 +142,46 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> dict | None
     return {"w": w, "b": b, "slope": float(slope[0]) / spread, "start": start}
 
 
-def score(docs: DataFrame, model: dict | None, carry: list[str]) -> DataFrame:
-    """The columns `carry`, the base counts, base_failed, probability of quality 1, kept."""
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
+def judged(texts: list[str | None], model: dict | None) -> tuple[list, list[bool], list[bool], list[float | None]]:
+    """Base counts, base_failed, kept and the probability of quality 1 of each text."""
+    rows, failed, probability = [], [], []
+    for text in texts:
+        counts, raw, codes = base(text)
+        rows.append(counts)
+        failed.append(base_failed(counts[0], counts[4]))
+        if model is None or not len(codes):
+            probability.append(None)
+            continue
+        z = float(scaled(*features(raw, codes)) @ model["w"] + model["b"])
+        probability.append(float(1 / (1 + np.exp(-np.clip(model["slope"] * z + model["start"], -50, 50)))))
+    kept = [not f and (p is None or p >= KEEP) for f, p in zip(failed, probability, strict=True)]
+    return rows, failed, kept, probability
+
+
+def score(docs: DataFrame, model: dict | None) -> DataFrame:
+    """doc_id, the base counts, base_failed, kept, probability."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def work(batch):
-        rows, failed, probability = [], [], []
-        for text in batch.column("__text").to_pylist():
-            counts, raw, codes = base(text)
-            rows.append(counts)
-            failed.append(base_failed(counts[0], counts[4]))
-            if model is None or not len(codes):
-                probability.append(None)
-                continue
-            z = float(scaled(*features(raw, codes)) @ model["w"] + model["b"])
-            probability.append(float(1 / (1 + np.exp(-np.clip(model["slope"] * z + model["start"], -50, 50)))))
-        kept = [not f and (p is None or p >= KEEP) for f, p in zip(failed, probability, strict=True)]
+        rows, failed, kept, probability = judged(batch.column("text").to_pylist(), model)
         columns = {n: [r[i] for r in rows] for i, n in enumerate(names)}
-        return {**{c: batch.column(c) for c in carry}, **columns, "base_failed": failed, "kept": kept, "probability": probability}
+        return {"doc_id": batch.column("doc_id"), **columns, "base_failed": failed, "kept": kept, "probability": probability}
 
     extra = ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean, probability double"
-    return map_rows(docs.select(*carry, F.col("text").alias("__text")), f"{types}, {extra}", work)
+    return map_rows(docs.select("doc_id", "text"), f"doc_id long, {extra}", work)
+
+
+def accepted(docs: DataFrame, model: dict | None) -> DataFrame:
+    """The kept rows, with all their columns."""
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("boolean")
+    def keep(texts: pd.Series) -> pd.Series:
+        return pd.Series(judged(texts.tolist(), model)[2], dtype=bool)
+
+    return docs.where(keep("text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score(docs, fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))

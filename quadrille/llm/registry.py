@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from quadrille.llm import bpe, fingerprints, html_text, jaccard_join, language_id, licenses, packing, quality, toxicity, warc
 
 QUERIES: dict = {
@@ -15,6 +16,7 @@ QUERIES: dict = {
     "op8_html_extraction": html_text.query,
     "op9_document_fingerprints": fingerprints.query,
     "op10_toxicity": toxicity.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict = {
     "op1_warc": warc.ORACLE_SQL,
