@@ -11,9 +11,10 @@ A document's set holds the 64-bit hashes of its distinct 5-word shingles. Two do
 3. Stars: in each column, rows are paired with one pivot (the row with the largest part of its kept columns shared,
    that is the original of a group of copies; another in later rounds), the pairs that share too little are left out,
    the rest compared exactly, and the links merged into components. This makes no more pairs than there are entries.
-4. Product: for the columns that still hold rows of several components, all pairs across components are accumulated
-   to overlap counts, pairs below their size-derived bound are discarded, and the rest compared exactly. Pairs within
-   a component can't change the result and are never made.
+4. Product: for the columns that still hold rows of several components, overlap counts of all pairs across components
+   are accumulated (for columns where many pairs meet, by products of two blocks of rows that yield no pair but those
+   that pass), pairs below their size-derived bound are discarded, and the rest compared exactly. Pairs within a
+   component can't change the result and are never made.
 
 Null text, empty text: n_shingles 0, linked with nothing. Fewer than five words: the sequence is the one shingle.
 Null ids are rows of their own and never the name of a component unless it has no other. Repeated rows, equal texts:
@@ -40,6 +41,8 @@ BUCKET_BITS, CHUNK = 19, 8192
 STAR_ROUNDS, STAR_ENOUGH = 3, 2.0
 #: Of the columns a pair could share, the part that a star pair must share with its pivot to be compared.
 STAR_SHARE = 0.25
+#: Pairs above which a column is multiplied in blocks, rows of a block, columns multiplied at a time.
+HEAVY, BLOCK, COLUMNS = 20_000, 1024, 2048
 #: Bits of the filter that says whose sets a comparison needs, at most.
 FILTER_BITS = 26
 MASK = (1 << 63) - 1
@@ -248,17 +251,78 @@ def star_pairs(entries: DataFrame, number: int) -> DataFrame:
     return pairs.where(F.col("count") >= STAR_SHARE * F.least(kept_columns("n"), kept_columns("m"))).select("a", "b")
 
 
+def still_open(count, n, m):
+    """Whether a pair of sizes n and m that shares `count` kept columns can link; for columns and for arrays.
+
+    All that the pair shares up to the end of one's kept columns is counted; beyond it, that one has at most
+    ceil(0.8 n) - 1 columns left. A link shares 80 / 180 of both sizes together."""
+    large = F.greatest(n, m) if isinstance(n, F.Column) else np.maximum(n, m)
+    up = F.ceil if isinstance(n, F.Column) else np.ceil
+    return count + up(large * PERCENT / 100) - 1 >= (n + m) * PERCENT / (100 + PERCENT) - 1e-6
+
+
 def product_pairs(entries: DataFrame) -> DataFrame:
-    """a, b: all pairs of rows of different components whose overlap in the kept columns leaves the bound open."""
-    mixed_keys = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    left = entries.join(mixed_keys, "key", "left_semi").select("key", "sid", "n", "comp")
+    """a, b: all pairs of rows of different components whose overlap in the kept columns leaves the bound open.
+
+    Columns that few pairs meet in are multiplied by a join on the column, the others block by block."""
+    per = entries.groupBy("key", "comp").count().groupBy("key").agg(
+        F.sum("count").alias("f"), F.max_by("comp", F.struct("count", "comp")).alias("main"), F.max("count").alias("of_main"))
+    per = stored(per.withColumn("rest", F.col("f") - F.col("of_main")).where("rest > 0"), "columns")
+    crowded = F.col("rest") * F.col("f") > HEAVY
+    left = entries.join(per.where(~crowded).select("key"), "key", "left_semi").select("key", "sid", "n", "comp")
     right = left.select("key", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("to"))
     pairs = left.join(right, "key").where((F.col("sid") < F.col("b")) & (F.col("comp") != F.col("to")) & close_in_size("n", "m"))
     pairs = pairs.groupBy(F.col("sid").alias("a"), "b", "n", "m").count()
-    # all that the pair shares up to the end of one's kept columns is counted; beyond it, that one has n - kept columns left
-    beyond = F.greatest(F.col("n") - kept_columns("n"), F.col("m") - kept_columns("m"))
-    least = F.ceil((F.col("n") + F.col("m")) * PERCENT / (100 + PERCENT))
-    return pairs.where(F.col("count") + beyond >= least).select("a", "b")
+    pairs = pairs.where(still_open(F.col("count"), F.col("n"), F.col("m"))).select("a", "b")
+    return pairs.union(blocked_pairs(entries, per.where(crowded))).distinct()
+
+
+def blocked_pairs(entries: DataFrame, per: DataFrame) -> DataFrame:
+    """The pairs of the columns in `per` by products of blocks of rows, with all shared columns of these rows.
+
+    The rows outside a column's largest component are dealt in blocks, each multiplied with each block of the largest
+    component and each block of its own kind; a task holds two blocks of about BLOCK rows."""
+    rows = entries.select("key", "sid", "n", "comp").join(per.select("key", "main", "of_main", "rest"), "key")
+    rest = F.col("comp") != F.col("main")
+    parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("sid"), F.when(rest, parts("rest")).otherwise(parts("of_main"))).cast("int")
+    every = lambda c: F.sequence(F.lit(0), parts(c) - 1)
+    spot = lambda i, j, kind, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(kind).alias("kind"), F.lit(side).alias("side"))
+    to_main = F.transform(every("of_main"), lambda j: spot(F.col("block"), j, 0, 0))
+    as_left = F.transform(F.filter(every("rest"), lambda j: j >= F.col("block")), lambda j: spot(F.col("block"), j, 1, 0))
+    as_right = F.transform(F.filter(every("rest"), lambda j: j <= F.col("block")), lambda j: spot(j, F.col("block"), 1, 1))
+    from_main = F.transform(every("rest"), lambda i: spot(i, F.col("block"), 0, 1))
+    spots = F.when(rest, F.concat(to_main, as_left, as_right)).otherwise(from_main)
+    keys = entries.join(rows.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    dealt = rows.withColumn("block", block).select("key", "sid", "n", "comp", F.explode(spots).alias("s"))
+    dealt = dealt.select("key", "sid", "n", "comp", "s.*").join(keys, "sid")
+
+    def product(frame):
+        x, y = (frame[frame["side"] == k] for k in (0, 1))
+        a, b = [], []
+        if len(x) and len(y):
+            own = [np.concatenate(f["keys"].to_list()).astype(np.int64) for f in (x, y)]
+            at = [np.repeat(np.arange(len(f)), f["keys"].map(len)) for f in (x, y)]
+            both = np.intersect1d(*own)
+            count = np.zeros((len(x), len(y)), np.float32)
+            for k in range(0, len(both), COLUMNS):
+                part, ones = both[k : k + COLUMNS], []
+                for f, keys, row in zip((x, y), own, at, strict=True):
+                    place = np.minimum(np.searchsorted(part, keys), len(part) - 1)
+                    hit = part[place] == keys
+                    one = np.zeros((len(f), len(part)), np.float32)
+                    one[row[hit], place[hit]] = 1
+                    ones.append(one)
+                count += ones[0] @ ones[1].T
+            n, m = x["n"].to_numpy()[:, None], y["n"].to_numpy()[None]
+            keep = still_open(count, n, m) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * PERCENT)
+            keep &= x["comp"].to_numpy()[:, None] != y["comp"].to_numpy()[None]
+            i, j = np.nonzero(keep)
+            u, v = x["sid"].to_numpy()[i], y["sid"].to_numpy()[j]
+            a, b = np.minimum(u, v), np.maximum(u, v)
+        return type(frame)({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return dealt.groupBy("key", "i", "j", "kind").applyInPandas(product, "a long, b long")
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -300,5 +364,17 @@ def linked(docs: DataFrame) -> DataFrame:
     return own.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+#: Ids to remove up to this number are broadcast (8 bytes each), more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows, with all their columns, without those whose component has a smaller id. Of rows with the same id all
+    stay or all go; rows without an id stay."""
+    out = stored(linked(docs).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    gone = F.broadcast(out) if out.count() <= BROADCAST_ROWS else out
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "documents"))
