@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import stored
+from quadrille.llm.common import discard, stored
 
 ROUNDS = 60
 
@@ -19,6 +19,7 @@ def components(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct()
     both = stored(both, "links")
     roots = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("root")), "roots")
+    table = roots
     for _ in range(ROUNDS):
         around = both.join(roots.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b").groupBy("a").agg(F.min("rb").alias("rb"))
         near = roots.join(around, roots["id"] == around["a"], "left").select("id", "root", F.least("root", F.coalesce("rb", "root")).alias("to"))
@@ -28,7 +29,10 @@ def components(links: DataFrame) -> DataFrame:
         onward = near.select(F.col("id").alias("to"), F.col("to").alias("further"))
         moved = near.join(onward, "to", "left").select("id", "root", F.least("to", F.coalesce("further", "to")).alias("to"))
         moved = stored(moved, "roots")
-        roots = moved.select("id", F.col("to").alias("root"))
+        discard(near)
+        discard(table)
+        table, roots = moved, moved.select("id", F.col("to").alias("root"))
         if moved.where("to <> root").isEmpty():
+            discard(both)
             return roots
     raise RuntimeError("the components did not settle")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import small_batches, stored, table
+from quadrille.llm.common import discard, small_batches, stored, table
 from quadrille.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -228,7 +228,9 @@ def compared(docs: DataFrame, pairs: DataFrame, first: DataFrame) -> DataFrame:
                 keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    found = stored(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "found")
+    discard(sets)
+    return found
 
 
 def close_in_size(a: str, b: str) -> F.Column:
@@ -336,9 +338,10 @@ def linked(docs: DataFrame) -> DataFrame:
         raise RuntimeError("two different sets have the same 64-bit signature")
     counts = summed(made.where("chunk is not null").select("chunk", "part"), 1 << BUCKET_BITS)
     first = rows.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    entries = stored(shared_entries(docs, counts), "entries")
-    shared = entries.groupBy("sid", "n").agg(F.count("*").alias("k")).select("sid", (F.col("k") / kept_columns("n")).alias("part"))
-    entries = stored(entries.join(shared, "sid"), "entries")
+    bare = stored(shared_entries(docs, counts), "entries")
+    shared = bare.groupBy("sid", "n").agg(F.count("*").alias("k")).select("sid", (F.col("k") / kept_columns("n")).alias("part"))
+    entries = stored(bare.join(shared, "sid"), "entries")
+    discard(bare)
     links, roots = None, None
     for number in range(STAR_ROUNDS + 1):
         labelled = entries.withColumn("comp", F.col("sid"))
@@ -350,7 +353,8 @@ def linked(docs: DataFrame) -> DataFrame:
         if not total["pairs"]:
             break
         last = number == STAR_ROUNDS or number and total["pairs"] <= STAR_ENOUGH * total["entries"]
-        found = stored(compared(docs, product_pairs(labelled) if last else star_pairs(labelled, number), first), "found")
+        found = compared(docs, product_pairs(labelled) if last else star_pairs(labelled, number), first)
+        discard(labelled)
         links = found if links is None else links.union(found)
         roots = components(links)
         if last:
