@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quadrille.plans import spatial
+
+QUERIES: dict = dict(spatial.QUERIES)
+ORACLES: dict = dict(spatial.ORACLES)
