@@ -36,40 +36,47 @@ def leaves(points: DataFrame, trees: DataFrame, keys: tuple[str, ...] = (), coef
     each. A node stops at the last depth, at a weight of coef * (W div target) or less, or with min_n points or fewer.
     The first depth with at least `target` leaves above it turns all its live nodes into leaves. The first pass
     aggregates to SHALLOW levels; only points in nodes that are live there are refined."""
-    keys = list(keys)
-    root = [F.col(f"root_{c}") for c in ("min_x", "min_y", "max_x", "max_y")]
-    own = trees.select(*keys, "target", *[f"root_{c}" for c in ("min_x", "min_y", "max_x", "max_y")])
-    dealt = points.join(F.broadcast(own), keys) if keys else points.crossJoin(F.broadcast(own))  # one row for each tree
-    dealt = dealt.withColumn("path", boxes.tree_path(F.col("x"), F.col("y"), root)).select(*keys, "path", "w")
+    keys, spark = list(keys), points.sparkSession
+    corners = ["root_min_x", "root_min_y", "root_max_x", "root_max_y"]
+    root = [F.col(c) for c in corners]
+    given = trees.select(*keys, "target", *corners)
+    own = spark.createDataFrame(given.collect(), given.schema)  # one row for each tree
+
+    def by_tree(rows: DataFrame, small: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(small), keys) if keys else rows.crossJoin(F.broadcast(small))
+
+    dealt = by_tree(points, own).withColumn("path", boxes.tree_path(F.col("x"), F.col("y"), root)).select(*keys, "path", "w")
     fine = dealt.groupBy(*keys, "path").agg(F.sum("w").alias("w"), F.count("*").alias("n")).persist()
     top = min(SHALLOW, depth)
     shallow = fine.withColumn("cell", F.shiftright("path", 2 * (DEPTH - top))).groupBy(*keys, "cell").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
-    nodes = levels(shallow, keys, "cell", top, 0, top)
-    total = nodes.where("depth = 0").select(*keys, F.col("w").alias("all"))
-    small = own.join(total, keys) if keys else own.crossJoin(total)
-    small = small.withColumn("least", F.expr(f"(all div target) * {coef}"))
+    whole = fine.groupBy(*keys).agg(F.sum("w").alias("all"))
+    limits = own.join(whole, keys) if keys else own.crossJoin(whole)
+    limits = limits.select(*keys, "target", *corners, F.expr(f"(all div target) * {coef}").alias("least"))
+    limits = spark.createDataFrame(limits.collect(), limits.schema)  # one row for each tree
 
     def stopped(rows: DataFrame) -> DataFrame:
-        rows = rows.join(F.broadcast(small.select(*keys, "least", "target")), keys) if keys else rows.crossJoin(F.broadcast(small.select("least", "target")))
-        return rows.withColumn("stop", (F.col("depth") >= depth) | (F.col("w") <= F.col("least")) | (F.col("n") <= min_n))
+        rows = by_tree(rows, limits.select(*keys, "least", "target"))
+        return rows.withColumn("stop", (F.col("depth") >= depth) | (F.col("w") <= F.col("least")) | (F.col("n") <= min_n)).drop("least")
 
-    nodes = stopped(nodes)
+    nodes = stopped(levels(shallow, keys, "cell", top, 0, top)).persist()  # at most 4 ** SHALLOW * 4 / 3 a tree
     if depth > top:
         live = nodes.where(f"depth = {top} and not stop").select(*keys, F.col("path").alias("cell"))
-        deep = fine.withColumn("cell", F.shiftright("path", 2 * (DEPTH - top))).join(F.broadcast(live), [*keys, "cell"], "left_semi")  # at most 4 ** SHALLOW a tree
+        deep = fine.withColumn("cell", F.shiftright("path", 2 * (DEPTH - top))).join(F.broadcast(live), [*keys, "cell"], "left_semi")
         nodes = nodes.union(stopped(levels(deep.withColumnRenamed("path", "whole"), keys, "whole", DEPTH, top + 1, depth)))
-    above = nodes.select(*keys, (F.col("depth") + 1).alias("depth"), F.col("path").alias("over"), F.col("stop").alias("over_stop"))
-    nodes = nodes.withColumn("over", F.shiftright("path", 2)).join(above, [*keys, "depth", "over"], "left")
-    alive = nodes.where("depth = 0 or not over_stop").persist()
-    made = alive.where("stop and w <> 0").groupBy(*keys, "depth", "target").count()
-    from pyspark.sql import Window
-
-    earlier = Window.partitionBy(*keys).orderBy("depth") if keys else Window.partitionBy(F.lit(0)).orderBy("depth")  # one row for each depth
-    by_depth = made.withColumn("sum", F.sum("count").over(earlier)).where("sum >= target").groupBy(*keys).agg((F.min("depth") + 1).alias("cap"))
-    by_depth = F.broadcast(by_depth)
-    capped = alive.join(by_depth, keys, "left") if keys else alive.join(by_depth, F.lit(True), "left")
+    above = nodes.where("not stop").select(*keys, (F.col("depth") + 1).alias("depth"), F.col("path").alias("over"))
+    below = nodes.where("depth > 0").withColumn("over", F.shiftright("path", 2)).join(above, [*keys, "depth", "over"], "left_semi").drop("over")
+    alive = nodes.where("depth = 0").unionByName(below).persist()
+    made = alive.where("stop and w <> 0").groupBy(*keys, "target", "depth").count().collect()  # a row for each tree and depth
+    caps = {}
+    for r in sorted(made, key=lambda r: r["depth"]):
+        tree = tuple(r[k] for k in keys)
+        n, cap = caps.get(tree, (0, None))
+        n += r["count"]
+        caps[tree] = (n, r["depth"] + 1 if cap is None and n >= r["target"] else cap)
+    schema = ", ".join([*[f"{k} {dict(points.dtypes)[k]}" for k in keys], "cap int"])
+    capped = by_tree(alive, spark.createDataFrame([(*k, c) for k, (_, c) in caps.items()], schema))
     found = capped.where("w <> 0").where("(stop and (cap is null or depth <= cap)) or (cap is not null and depth = cap)")
-    found = found.join(F.broadcast(own.drop("target")), keys) if keys else found.crossJoin(F.broadcast(own.drop("target")))
+    found = by_tree(found.select(*keys, "depth", "path", "w", "n"), own)
     b = boxes.node_box(F.col("depth"), F.col("path"), root)
     return found.select(*keys, "depth", "path", *[e.alias(n) for e, n in zip(b, ("min_x", "min_y", "max_x", "max_y"), strict=True)], "w", "n")
 

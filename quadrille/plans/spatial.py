@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.functions import boxes
@@ -87,7 +87,8 @@ def cell_counts(spark, d):
 
 def parts(spark, d):
     r, s = both(spark, d)
-    return stripes.stripes(r, stripes.global_box(r, s), STRIPES)
+    made = stripes.stripes(r, stripes.global_box(r, s), STRIPES)
+    return spark.createDataFrame(made.collect(), made.schema)  # a row for each stripe
 
 
 def stripe_assignment(spark, d):
