@@ -25,10 +25,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,17 +56,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hash(word: bytes) -> int:
-    return crc32(word) << 32 | crc32(word, 0x9747B28C) ^ len(word)
-
-
 def shingles(text: str | None) -> np.ndarray:
     """The sorted hashes (63 bits) of the text's distinct shingles."""
     words = (text or "").encode("utf-8", "replace").translate(FOLD).split()
     if not words:
         return np.zeros(0, np.int64)
     n = max(len(words) - WORDS + 1, 1)
-    codes = mixed(np.fromiter(map(word_hash, words), np.uint64, len(words)))
+    codes = mixed(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
     h = np.full(n, min(len(words), WORDS), np.uint64)
     for i in range(min(WORDS, len(words))):
         h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + n])
@@ -89,20 +85,27 @@ def chunked(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
 
 
 def summed(rows: DataFrame, length: int, bits: bool = False) -> np.ndarray:
-    """chunk, part: the sum (bits: the union) of the tasks' arrays. Of fixed length, whatever the input."""
+    """chunk, part: the sum (bits: the union) of the tasks' arrays. Of fixed length, whatever the input.
+
+    Each task adds up what it reads, one array for each chunk, before and after the shuffle; no group is held."""
     kind = np.uint8 if bits else np.int64
+    schema = pa.schema([("chunk", pa.int32()), ("part", pa.binary())])
+
+    def add(sent: type):
+        def run(batches):
+            totals: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for k, x in zip(batch.column("chunk").to_pylist(), batch.column("part"), strict=True):
+                    part = np.frombuffer(x.as_buffer(), sent)
+                    total = totals.setdefault(k, np.zeros(CHUNK, kind))
+                    np.bitwise_or(total, part, out=total) if bits else np.add(total, part, out=total)
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], schema=schema)
 
-    def add(key, frame):
-        parts = (np.frombuffer(x, kind if bits else np.int32) for x in frame["part"])
-        total = np.zeros(CHUNK, kind)
-        for x in parts:
-            total = total | x if bits else total + x
-        frame = frame.iloc[:1].copy()
-        frame["part"] = [total.tobytes()]
-        return frame
+        return run
 
+    once = rows.select("chunk", "part").mapInArrow(add(kind if bits else np.int32), "chunk int, part binary")
     out = np.zeros(length, kind)
-    for r in rows.groupBy("chunk").applyInPandas(add, "chunk int, part binary").collect():
+    for r in once.repartition("chunk").mapInArrow(add(kind), "chunk int, part binary").collect():
         out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(bytes(r["part"]), kind)
     return out
 
