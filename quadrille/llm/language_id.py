@@ -61,14 +61,14 @@ def centroids(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(rows: DataFrame, most: int = FIT_ROWS) -> dict:
-    """rows: text, lang. The model: idf, centroids, their languages, the least cosine that counts."""
-    rows = rows.where("text is not null and lang is not null").select("text", "lang")
+    """rows: doc_id, text, lang. The model: idf, centroids, their languages, the least cosine that counts."""
+    rows = rows.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     per = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
     if not per:
         return {"langs": []}
     share = most / len(per)
     keep = F.create_map(*[F.lit(v) for k, n in per.items() for v in (k, min(1.0, share / n))])
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < keep[F.col("lang")] * (1 << 20))
+    picked = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < keep[F.col("lang")] * (1 << 20))
 
     def count(batch):
         texts = batch.column("text").to_pylist()
