@@ -32,7 +32,7 @@ CAPACITY, END = 2048, 0
 #: The tokenizer, and the same vocabulary as ranks.
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Rows of one length that are ranked together.
-RANKED = 50_000
+RANKED = 1000
 #: Texts of these characters only, without special tokens, give the same ids by either library (see the tests).
 PLAIN = regex.compile(r"[\x00-\x7e\xa1-ɏ]*+")
 SPECIAL = "<|"
@@ -164,7 +164,8 @@ def pack(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     made = stored(made, "pieces")
     counts = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity`
     rows = plan(counts, capacity)
-    block = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(max(1, -(-max(counts.values(), default=1) // RANKED))))
+    blocks = F.lit([max(1, -(-counts.get(n, 0) // RANKED)) for n in range(capacity + 1)])
+    block = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), blocks[F.col("length").cast("int")])
     made = made.withColumn("__block", block)
     ahead = Window.partitionBy("length").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     before = made.groupBy("length", "__block").count().select("length", "__block", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("__before"))
