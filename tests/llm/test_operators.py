@@ -230,6 +230,10 @@ def roots(texts):
     return {i: (len(sets[i]), find(i)) for i in order}
 
 
+#: Different words that CRC-32 gives one value, whatever it starts from.
+SAME_CRC = ("ydmloavqh", "evunreott")
+
+
 def test_jaccard_join(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "HEAVY", 20)  # the blocked product, too
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
@@ -242,11 +246,21 @@ def test_jaccard_join(spark, monkeypatch):
             for _ in range(random.randint(0, 5)):
                 copy[random.randrange(len(copy))] = random.choice(words)
             texts.append(" ".join(copy + ["the very same passage in all of these texts"] * random.randint(0, 1)))
-    docs = [(3 * i + 1, t) for i, t in enumerate([*texts, None, "", "one two", "One two"])]
+    docs = [(3 * i + 1, t) for i, t in enumerate([*texts, None, "", "one two", "One two", *SAME_CRC])]
     got = jaccard_join.linked(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == roots(docs)
 
 
+def test_summed(spark):
+    chunk = jaccard_join.CHUNK
+    parts = [(k, np.full(chunk, k + i, np.int32).tobytes()) for k in (0, 2) for i in range(50)]
+    got = jaccard_join.summed(spark.createDataFrame(parts, "chunk int, part binary").repartition(7), 3 * chunk)
+    assert got[:chunk].tolist() == [1225] * chunk and not got[chunk : 2 * chunk].any() and got[2 * chunk :].tolist() == [1325] * chunk
+    flags = [(0, np.full(chunk, 1 << i, np.uint8).tobytes()) for i in (0, 3, 3, 7)]
+    assert jaccard_join.summed(spark.createDataFrame(flags, "chunk int, part binary"), chunk, bits=True).tolist() == [137] * chunk
+    assert not jaccard_join.summed(spark.createDataFrame([], "chunk int, part binary"), chunk).any()
+
+
 def test_bpe():
     random.seed(2)
     path = P.path(bpe.RANKS)
@@ -286,7 +300,7 @@ def test_fingerprints(spark):
         assert (by[i]["n_chars"], by[i]["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         a, b = (Counter(x.replace("\n", " ").split(" ")) for x in (t, edited))
         errors.append(by[i]["near_edited"] - sum((a & b).values()) / sum((a | b).values()))
-    assert abs(np.mean(errors[1:61])) < 0.05 and max(map(abs, errors)) < 0.6
+    assert abs(np.mean(errors[1:61])) < 0.05 and max(map(abs, errors)) < 0.5
     assert by[62]["fingerprint"] == by[63]["fingerprint"] and by[62]["near_next"] == 1.0 and by[60]["fingerprint"] == by[61]["fingerprint"]
 
 
