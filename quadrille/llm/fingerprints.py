@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quadrille.llm.common import stored, table
 
-SAMPLES = 32
+SAMPLES = 24
 #: Stands for a null id.
 NO_ID = -(1 << 63)
 #: Characters of a partition, so that its terms are counted in memory; partitions at most.
