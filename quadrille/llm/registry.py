@@ -20,4 +20,5 @@ QUERIES: dict = {
 }
 ORACLES: dict = {
     "op1_warc": warc.ORACLE_SQL,
+    "op5_ngram_jaccard_join": jaccard_join.ORACLE_SQL,
 }

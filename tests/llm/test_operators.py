@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -60,6 +61,21 @@ def test_edges_keep_every_row(spark, edge_dir, name):
     assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in EDGES)
 
 
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_against_sql(spark, name):
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    told = con.execute(registry.ORACLES[name])
+    columns = sorted(c[0] for c in told.description)
+    got = registry.QUERIES[name](spark, d)
+    assert sorted(got.columns) == columns
+    key = lambda rows: sorted(map(str, rows))
+    order = [[c[0] for c in told.description].index(c) for c in columns]
+    assert key(tuple(r) for r in got.select(*columns).collect()) == key(tuple(r[i] for i in order) for r in told.fetchall())
+
+
 def test_warc(spark, edge_dir):
     pages = [tuple(r) for r in spark.read.parquet(f"{edge_dir}/pages.parquet").select("page_id", "html").collect()]
     least = {}
