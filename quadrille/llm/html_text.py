@@ -1,21 +1,23 @@
 """HTML extraction by equivalence-class template deduction.
 
-Tokens are a page's elements, each with the path of elements it stands in. Over the pages of a host a token has an
-occurrence vector (how often it occurs in each page); only its size, its sum and an order-free hash of it are kept, so
+Tokens are a page's elements, each with the path of elements it stands in, and its texts, each with its path. Over the
+pages of a host a token has an occurrence vector (how often it occurs in each page); only its size, its sum and an order-free hash of it are kept, so
 vectors are compared by aggregates that combine before the shuffle and a host with a third of all pages is no hot
 group. Tokens that share a vector form an equivalence class. Valid classes occur in most pages of the host, once in
 each, and nest: each path is inside a shorter one. They are the template; what stands between its tokens are slots.
-A slot is the page's main text if it is an article or, on pages that mark none, lies in the deepest template element
-that still holds nearly all text outside of menus, adverts and the like; texts that fill their slot alike on most pages
-are template, too. Blocks in such slots are the result.
+Texts that fill their slot alike on most pages are template, too. The main slot is the deepest template element that
+still holds nearly all text that is neither template nor in menus, adverts and the like; its blocks without template
+texts are the result. An article is one more sign: if articles hold most of what is left, only they are the result. Where
+all of a page's slot is template text (pages that are copies of one another), that text stays.
 
 Null or empty html: an empty text. Null url: the pages of no host share one. Markup may be cut off or unclosed. Repeated
 rows each get their own result; extra columns are ignored; pages are read whole. Of hosts with one page the page's own
-elements decide.
+elements decide, and any article marks the text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import defaultdict
@@ -43,10 +45,11 @@ HOLDS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-#: A template token stands on this part of a host's pages, on this many at least; a container holds this part of the text.
-SUPPORT, LEAST_PAGES, HOLDS_TEXT = 0.6, 3, 0.8
+#: A template token stands on this part of a host's pages, on this many at least; a container holds this part of the text,
+#: articles that count on hosts with a template this part of what is left.
+SUPPORT, LEAST_PAGES, HOLDS_TEXT, ARTICLE_HOLDS = 0.6, 3, 0.8, 0.5
 DEPTH = 12
-#: Rows of the hosts' templates that are broadcast (under 400 bytes each); more are joined by a shuffle.
+#: Hosts and texts of their templates that are broadcast (under 400 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 20_000
 
 
@@ -76,7 +79,7 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool]], dict[str, list[int]]
             if text:
                 path, main = (stack[-1][1], stack[-1][3]) if stack else ("", False)
                 out.append((path, text, main))
-                for _, p, _, _ in stack:
+                for p in {x[1] for x in stack}:  # elements deeper than DEPTH share a path
                     paths[p][1] += len(text)
 
     def beside() -> bool:
@@ -151,52 +154,77 @@ def host() -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
+def text_token(path: str, text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{path}\n{text}".encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """host, container: of the hosts whose pages mark no article."""
+    """host, container, repeated: of each host with a template, its main slot and the tokens of its template texts."""
 
     def tokens(batch):
-        rows = {n: [] for n in ("host", "page", "path", "times", "chars")}
+        rows = {n: [] for n in ("host", "page", "path", "text", "times", "chars")}
         for h, i, page in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html")), strict=True):
             found, paths = blocks(page or "")
-            if any(main for _, _, main in found):
-                paths = {"article": [1, 1]}
-            for path, (times, chars) in paths.items():
-                for n, v in zip(rows, (h, i, path, times, chars), strict=True):
+            texts = defaultdict(lambda: [0, 0])
+            for path, text, _ in found:
+                own = texts[path, text_token(path, text)]
+                own[0] += 1
+                own[1] += len(text)
+            paths.setdefault("", [0, 0])  # counts the page, whatever it holds
+            for (path, text), (times, chars) in [*(((p, None), x) for p, x in paths.items()), *texts.items()]:
+                for n, v in zip(rows, (h, i, path, text, times, chars), strict=True):
                     rows[n].append(v)
         return rows
 
     said = map_rows(pages.select(host().alias("host"), F.xxhash64("page_id", "html").alias("page"), "html"),
-                    "host string, page long, path string, times long, chars long", tokens)
+                    "host string, page long, path string, text long, times long, chars long", tokens)
     vector = F.bit_xor(F.xxhash64("page", "times")).alias("vector")
-    per = stored(said.groupBy("host", "path").agg(F.count("*").alias("pages"), F.sum("times").alias("times"), vector, F.sum("chars").alias("chars")), "tokens")
-    most = per.groupBy("host").agg(F.max("pages").alias("of"), F.max("chars").alias("all"), F.max(F.col("path") == "article").alias("marked")).where("not marked")
-    classes = per.groupBy("host", "vector", "pages", "times").agg(F.collect_list(F.struct("path", "chars")).alias("tokens"))
-    valid = classes.join(most, "host").where((F.col("pages") == F.col("times")) & (F.col("pages") >= F.greatest(F.lit(LEAST_PAGES), SUPPORT * F.col("of"))))
-    nested = valid.select("host", "all", F.explode("tokens").alias("t")).where(F.col("t.chars") >= HOLDS_TEXT * F.col("all"))
-    return nested.groupBy("host").agg(F.max_by("t.path", F.struct(F.length("t.path"), "t.path")).alias("container"))
-
-
-def main_text(found: list[tuple[str, str, bool]], container: str | None) -> str:
-    if any(main for _, _, main in found):
-        found = [x for x in found if x[2]]
-    elif container and any(x[0].startswith(container) for x in found):
-        found = [x for x in found if x[0] == container or x[0].startswith(f"{container}>")]
-    return "\n\n".join(text for _, text, _ in found)
+    per = stored(said.groupBy("host", "path", "text").agg(F.count("*").alias("pages"), F.sum("times").alias("times"), vector, F.sum("chars").alias("chars")), "tokens")
+    hosts = per.where("path = '' and text is null").select("host", F.col("pages").alias("of")).where(F.col("of") >= LEAST_PAGES)
+    often = F.col("pages") >= F.greatest(F.lit(LEAST_PAGES), SUPPORT * F.col("of"))
+    repeated = per.where("text is not null").join(hosts, "host").where(often)  # at most a page's texts / SUPPORT a host
+    steps = F.split("path", ">")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), ">"))
+    gone = repeated.select("host", "chars", F.explode(above).alias("path")).groupBy("host", "path").agg(F.sum("chars").alias("gone"))
+    elements = per.where("text is null and path <> ''").join(hosts, "host").join(gone, ["host", "path"], "left")
+    elements = elements.withColumn("chars", F.col("chars") - F.coalesce("gone", F.lit(0)))
+    most = elements.groupBy("host").agg(F.max("chars").alias("all"))
+    classes = elements.where((F.col("pages") == F.col("times")) & often).groupBy("host", "vector", "pages", "times").agg(F.collect_list(F.struct("path", "chars")).alias("tokens"))
+    nested = classes.join(most, "host").select("host", "all", F.explode("tokens").alias("t")).where(F.col("t.chars") >= HOLDS_TEXT * F.col("all"))
+    container = nested.groupBy("host").agg(F.max_by("t.path", F.struct(F.length("t.path"), "t.path")).alias("container"))
+    texts = repeated.groupBy("host").agg(F.collect_list("text").alias("repeated"))
+    none = F.array().cast("array<long>")
+    return hosts.join(container, "host", "left").join(texts, "host", "left").select("host", "container", F.coalesce("repeated", none).alias("repeated"))
+
+
+def main_text(found: list[tuple[str, str, bool]], container: str | None, repeated: list[int] | None = None) -> str:
+    """The text of a page's blocks. repeated: None on hosts without a template."""
+    if container and any(x[0] == container or x[0].startswith(f"{container}>") for x in found):
+        slot = [x for x in found if x[0] == container or x[0].startswith(f"{container}>")]
+    else:
+        slot = found
+    if repeated is not None:
+        slot = [x for x in slot if text_token(x[0], x[1]) not in repeated] or slot
+    marked = [x for x in slot if x[2]]
+    if marked and (repeated is None or sum(len(x[1]) for x in marked) >= ARTICLE_HOLDS * sum(len(x[1]) for x in slot)):
+        slot = marked
+    return "\n\n".join(text for _, text, _ in slot)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars."""
     pages = pages.select("page_id", "url", "html")
     known = stored(templates(pages), "templates")
-    few = known.count() <= BROADCAST_ROWS
+    few = (known.agg(F.sum(F.size("repeated") + 1)).first()[0] or 0) <= BROADCAST_ROWS
     rows = pages.withColumn("host", host())
     rows = rows.join(F.broadcast(known) if few else known, "host", "left")
 
     def work(batch):
-        made = [main_text(blocks(p or "")[0], c) for p, c in zip(batch.column("html").to_pylist(), batch.column("container").to_pylist(), strict=True)]
+        own = (batch.column(c).to_pylist() for c in ("html", "container", "repeated"))
+        made = [main_text(blocks(p or "")[0], c, r if r is None else set(r)) for p, c, r in zip(*own, strict=True)]
         return {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": made, "n_chars": [len(t) for t in made]}
 
-    return map_rows(rows.select("page_id", "url", "html", "container"), "page_id long, url string, text string, n_chars long", work)
+    return map_rows(rows.select("page_id", "url", "html", "container", "repeated"), "page_id long, url string, text string, n_chars long", work)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
