@@ -14,7 +14,9 @@ A document's set holds the 64-bit hashes of its distinct 5-word shingles. Two do
 4. Product: for the columns that still hold rows of several components, overlap counts of all pairs across components
    are accumulated (for columns where many pairs meet, by products of two blocks of rows that yield no pair but those
    that pass), pairs below their size-derived bound are discarded, and the rest compared exactly. Pairs within a
-   component can't change the result and are never made.
+   component can't change the components and are not made here.
+5. Links (with_links): every link lies inside a component, so the whole sets of each component are multiplied block by
+   block, all pairs of them, and each row's links are summed; no pair is written.
 
 Null text, empty text: n_shingles 0, linked with nothing. Fewer than five words: the sequence is the one shingle.
 Null ids are rows of their own and never the name of a component unless it has no other. Repeated rows, equal texts:
@@ -43,6 +45,8 @@ STAR_ROUNDS, STAR_ENOUGH = 3, 2.0
 STAR_SHARE = 0.25
 #: Pairs above which a column is multiplied in blocks, rows of a block, columns multiplied at a time.
 HEAVY, BLOCK, COLUMNS = 20_000, 1024, 2048
+#: Rows, and shingles for each of them, of a block whose links are counted.
+LINK_BLOCK, LINK_SIZE = 512, 1000
 #: Bits of the filter that says whose sets a comparison needs, at most.
 FILTER_BITS = 26
 MASK = (1 << 63) - 1
@@ -330,9 +334,8 @@ def blocked_pairs(entries: DataFrame, per: DataFrame) -> DataFrame:
     return dealt.groupBy("key", "i", "j", "kind").applyInPandas(product, "a long, b long")
 
 
-def linked(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id."""
-    docs = docs.select("doc_id", "text")
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows doc_id, n, sid, other, chunk, part, and sid, component_id of the sets of rows with an id."""
     small_batches(docs.sparkSession)
     made = stored(signed(docs), "signed")
     rows = made.where("chunk is null")
@@ -366,9 +369,90 @@ def linked(docs: DataFrame) -> DataFrame:
         roots = rows.select(F.col("sid").alias("id"), F.col("sid").alias("root")).limit(0)
     names = first.join(roots, first["sid"] == roots["id"], "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
     least = names.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    names = stored(names.join(least, "root").select("sid", "component_id"), "names")
+    return rows, stored(names.join(least, "root").select("sid", "component_id"), "names")
+
+
+def linked(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id."""
+    return told(*grouped(docs.select("doc_id", "text"))).select("doc_id", "n_shingles", "component_id")
+
+
+def told(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, sid of every row."""
     own = rows.where("n > 0").join(names, "sid", "left").union(rows.where("n = 0").withColumn("component_id", F.lit(None).cast("long")).select("sid", "doc_id", "n", "other", "chunk", "part", "component_id"))
-    return own.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return own.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "sid")
+
+
+def links_between(left, right) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows (sid, n, copies, own) of two blocks of one component: the documents each links with in the other."""
+    own = [[np.frombuffer(x, np.int64) for x in f["own"]] for f in (left, right)]
+    at = [np.repeat(np.arange(len(x)), [len(k) for k in x]) for x in own]
+    keys = [np.concatenate(x) for x in own]
+    both = np.intersect1d(*keys)
+    count = np.zeros((len(left), len(right)), np.float32)
+    for k in range(0, len(both), COLUMNS):
+        part, ones = both[k : k + COLUMNS], []
+        for x, key, row in zip(own, keys, at, strict=True):
+            place = np.minimum(np.searchsorted(part, key), len(part) - 1)
+            hit = part[place] == key
+            one = np.zeros((len(x), len(part)), np.float32)
+            one[row[hit], place[hit]] = 1
+            ones.append(one)
+        count += ones[0] @ ones[1].T
+    shared = count.astype(np.int64)
+    total = left["n"].to_numpy()[:, None] + right["n"].to_numpy()[None] - shared
+    link = (100 * shared >= PERCENT * total) & (left["sid"].to_numpy()[:, None] != right["sid"].to_numpy()[None])
+    return link @ right["copies"].to_numpy(), left["copies"].to_numpy() @ link
+
+
+def links_of_sets(docs: DataFrame, rows: DataFrame, names: DataFrame) -> DataFrame:
+    """sid, links: of each set in a component of several, the documents with other sets that it links with.
+
+    The sets of a component are dealt in blocks, and a task holds two of them; small components share tasks."""
+    ids = rows.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    members = stored(ids.join(names, "sid"), "members")
+    size = members.groupBy("component_id").agg(F.count("*").alias("c"), F.sum("n").alias("of")).where("c > 1")
+    parts = F.greatest(F.ceil(F.col("c") / LINK_BLOCK), F.ceil(F.col("of") / (LINK_BLOCK * LINK_SIZE))).cast("int")
+    members = stored(members.join(size.select("component_id", parts.alias("parts")), "component_id"), "members")
+    held = members.agg(F.count("*").alias("c"), F.sum("n").alias("of")).first()
+    bundles = max(1, held["c"] // LINK_BLOCK, (held["of"] or 0) // (LINK_BLOCK * LINK_SIZE))
+    sets = stored(sets_of(docs, members.select("sid", "doc_id")), "sets")
+    block = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
+    spot = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    as_left = F.transform(F.filter(every, lambda j: j >= F.col("block")), lambda j: spot(F.col("block"), j, 0))
+    as_right = F.transform(F.filter(every, lambda j: j <= F.col("block")), lambda i: spot(i, F.col("block"), 1))
+    small = F.col("parts") == 1
+    bundle = F.when(small, F.pmod(F.xxhash64("component_id"), F.lit(bundles))).otherwise(F.col("component_id"))
+    spots = F.when(small, F.array(spot(F.lit(0), F.lit(0), -1))).otherwise(F.concat(as_left, as_right))
+    dealt = members.join(sets.select("sid", "own"), "sid").withColumn("block", block).withColumn("bundle", bundle)
+    dealt = dealt.select("component_id", "sid", "n", "copies", "own", "bundle", small.alias("small"), F.explode(spots).alias("s")).select("*", "s.*").drop("s")
+
+    def product(frame):
+        sids, links = [], []
+        for _, own in frame.groupby("component_id", sort=False):
+            x, y = (own, own) if own["side"].iloc[0] < 0 else (own[own["side"] == k] for k in (0, 1))
+            if len(x) and len(y):
+                of_left, of_right = links_between(x, y)
+                sids.append(x["sid"].to_numpy()), links.append(of_left)
+                if own["i"].iloc[0] != own["j"].iloc[0]:
+                    sids.append(y["sid"].to_numpy()), links.append(of_right)
+        both = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (sids, links))
+        return type(frame)(dict(zip(("sid", "links"), both, strict=True)))
+
+    return dealt.groupBy("small", "bundle", "i", "j").applyInPandas(product, "sid long, links long").groupBy("sid").agg(F.sum("links").alias("links"))
+
+
+def with_links(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links: the number of other documents that a document links with, those of an
+    equal set, too. Rows without an id and empty sets have no links. Half the sum is the number of links of the join."""
+    docs = docs.select("doc_id", "text")
+    rows, names = grouped(docs)
+    copies = rows.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.count("*").alias("copies"))
+    degree = copies.join(links_of_sets(docs, rows, names), "sid", "left").select("sid", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = told(rows, names).join(stored(degree, "degree"), "sid", "left")
+    counts = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    return out.select("doc_id", "n_shingles", "component_id", F.when(counts, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
 
 
 #: Ids to remove up to this number are broadcast (8 bytes each), more are joined by a shuffle.
@@ -387,6 +471,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "documents"))
 
 
+def links_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_links(table(spark, sf_dir, "documents"))
+
+
 #: Every pair that shares a shingle, then the closure of the links: for tables of some thousand documents.
 ORACLE_SQL = r"""
 WITH RECURSIVE w AS (

@@ -267,6 +267,30 @@ def test_jaccard_join(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == roots(docs)
 
 
+def test_jaccard_links(spark, monkeypatch):
+    """All links inside the components, of groups of near copies in several blocks and of equal sets."""
+    monkeypatch.setattr(jaccard_join, "LINK_BLOCK", 8)
+    random.seed(11)
+    texts, words = [], [f"w{i}" for i in range(4000)]
+    for size in (40, 3, 2, 7):
+        own = random.choices(words, k=60)
+        for _ in range(size):
+            copy = list(own)
+            for _ in range(random.randint(0, 2)):
+                copy[random.randrange(len(copy))] = random.choice(words)
+            texts.append(" ".join(copy))
+    docs = [*enumerate([*texts, texts[0], texts[0].upper(), texts[-1], None, "", "one two", "One two", "alone"]), (None, texts[0])]
+    got = jaccard_join.with_links(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    sets, links = {i: shingle_set(t) for i, t in docs if i is not None}, Counter()
+    for a in sets:
+        for b in sets:
+            if a != b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                links[a] += 1
+    assert {r["doc_id"]: r["n_links"] for r in got} == {None: 0} | {i: links[i] for i in sets}
+    assert sum(links.values()) // 2 > len(texts)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == roots([x for x in docs if x[0] is not None])
+
+
 def test_summed(spark):
     chunk = jaccard_join.CHUNK
     parts = [(k, np.full(chunk, k + i, np.int32).tobytes()) for k in (0, 2) for i in range(50)]
