@@ -3,7 +3,9 @@
 Fit: at most about FIT_ROWS rows that have a language, spread over the languages; byte 2- and 3-grams of the
 lower-cased text are hashed into DIM cells, weighted by log tf and idf and scaled to length 1; spherical k-means
 gives up to CENTROIDS centroids for each language. A text gets the language of the centroid with the largest
-cosine; it is rejected if that cosine is less than REJECT times what nearly all fit rows of the language reach.
+cosine; it is rejected if that cosine is less than what nearly all rows of a centroid reach that it was not fitted on:
+centroids of one half of a language's rows are compared with pieces of the other half, and the floor is the QUANTILE of
+their cosines by length, since short texts reach less. A language of fewer than LEAST_HELD rows rejects nothing.
 
 Nulls and texts without a letter: `und`, score 0, rejected. Empty fit set: every row `und`. Ties: the language
 first in alphabetic order. Repeated rows each get their own result; extra columns are ignored. Long texts are
@@ -12,6 +14,8 @@ read whole, in blocks.
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import numpy as np
 import pandas as pd
 import regex
@@ -23,7 +27,8 @@ from quadrille.llm.common import fold, map_rows, small_batches, table
 DIM = 2048
 FIT_ROWS = 4000
 CENTROIDS = 4
-REJECT = 0.5
+#: The part of clean held-out pieces below the floor; the lengths (bytes) of pieces; rows below which there is no floor.
+QUANTILE, LENGTHS, LEAST_HELD = 0.02, (4, 8, 16, 32, 64, 128, 256, 512, 1024, 4096), 20
 BLOCK = 1 << 20
 LETTER = regex.compile(r"\p{L}")
 
@@ -60,8 +65,25 @@ def centroids(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
 
 
+def floors(starts: list[bytes], own: np.ndarray, idf: np.ndarray) -> list[float]:
+    """The floor of one language at each of LENGTHS. starts: the first bytes of its rows, own: their weighted grams."""
+    half = np.array([crc32(s[:64]) & 1 for s in starts], bool)  # copies stay on one side
+    if half.all() or not half.any():
+        return [0.0] * len(LENGTHS)
+    fits, out = [centroids(own[half == side], CENTROIDS) for side in (True, False)], []
+    for n in LENGTHS:
+        pieces = [(int(side), grams(s[:n].decode("utf-8", "ignore"))) for s, side in zip(starts, half, strict=True) if len(s) >= n]
+        if len(pieces) < LEAST_HELD:
+            out.append(out[-1] if out else 0.0)
+            continue
+        x, side = weighted(np.array([g for _, g in pieces]), idf), np.array([k for k, _ in pieces], bool)
+        reached = np.where(side, np.max(x @ fits[1].T, axis=1), np.max(x @ fits[0].T, axis=1))
+        out.append(float(np.quantile(reached, QUANTILE)))
+    return out
+
+
 def fit(rows: DataFrame, most: int = FIT_ROWS) -> dict:
-    """rows: doc_id, text, lang. The model: idf, centroids, their languages, the least cosine that counts."""
+    """rows: doc_id, text, lang. The model: idf, centroids, their languages, the least cosines that count, by length."""
     rows = rows.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     per = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
     if not per:
@@ -72,20 +94,21 @@ def fit(rows: DataFrame, most: int = FIT_ROWS) -> dict:
 
     def count(batch):
         texts = batch.column("text").to_pylist()
-        return {"lang": batch.column("lang"), "counts": [np.minimum(grams(t), 65535).astype(np.uint16).tobytes() for t in texts]}
+        return {"lang": batch.column("lang"), "counts": [np.minimum(grams(t), 65535).astype(np.uint16).tobytes() for t in texts],
+                "start": [t[: LENGTHS[-1]].encode("utf-8", "replace")[: LENGTHS[-1]] for t in texts]}
 
-    got = map_rows(picked, "lang string, counts binary", count).limit(2 * most).collect()
+    got = map_rows(picked, "lang string, counts binary, start binary", count).limit(2 * most).collect()
     if not got:
         return {"langs": []}
-    got = sorted((r["lang"], bytes(r["counts"])) for r in got)
-    counts = np.array([np.frombuffer(c, np.uint16) for _, c in got])
+    got = sorted((r["lang"], bytes(r["counts"]), bytes(r["start"])) for r in got)
+    counts = np.array([np.frombuffer(c, np.uint16) for _, c, _ in got])
     idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
-    x, langs = weighted(counts, idf), np.array([n for n, _ in got])
+    x, langs = weighted(counts, idf), np.array([n for n, _, _ in got])
     names, parts, least = [], [], []
     for lang in sorted(set(langs)):
         own = x[langs == lang]
         c = centroids(own, CENTROIDS)
-        floor = REJECT * float(np.quantile(np.max(own @ c.T, axis=1), 0.005))
+        floor = floors([s for n, _, s in got if n == lang], own, idf)
         names += [lang] * len(c)
         least += [floor] * len(c)
         parts.append(c)
@@ -103,7 +126,8 @@ def judged(texts: list[str | None], model: dict) -> tuple[list[str], list[float]
         best = int(np.argmax(sims))
         lang.append(model["langs"][best])
         score.append(float(min(1.0, max(0.0, sims[best]))))
-        out.append(bool(sims[best] < model["least"][best]))
+        size = np.log(len(text.encode("utf-8", "replace")))
+        out.append(bool(sims[best] < np.interp(size, np.log(LENGTHS), model["least"][best])))
     return lang, score, out
 
 

@@ -206,6 +206,18 @@ def test_language_edges(spark, edge_dir):
     assert language_id.grams(whole).sum() == 2 * len(whole) - 3
 
 
+def test_language_rejects_what_it_does_not_know(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.fit_fold(docs)
+    random.seed(8)
+    letters, other = "abcdefghijklmnopqrstuvwxyz", "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä "
+    unknown = [" ".join("".join(random.choices(letters, k=random.randint(2, 9))) for _ in range(300)), "".join(random.choices(letters + letters.upper() + "0123456789+/", k=2000)),
+               random.randbytes(1000).hex(), other * 2, other * 12]
+    assert language_id.judged(unknown, model)[2] == [True] * len(unknown)
+    clean = [r["text"] for r in docs.where("doc_id is not null").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 and r["text"] and re.search("[a-z]", r["text"])]
+    assert np.mean(language_id.judged(clean, model)[2]) < 0.05
+
+
 def test_licenses(spark, edge_dir):
     got = {r["doc_id"]: r for r in rows(spark, "op4_license_scans", edge_dir)}
     lowered = str.maketrans(licenses.UPPER, licenses.LOWER)
