@@ -14,7 +14,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quadrille.llm import bpe, fingerprints, html_text, jaccard_join, language_id, licenses, packing, quality, registry, warc
+from quadrille.llm import bpe, fingerprints, jaccard_join, language_id, licenses, packing, quality, registry, warc
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, n long, key string"
@@ -326,32 +326,6 @@ def test_bpe():
     assert word.ids() == bpe.PrefixEncoder(own.vocabulary, word.piece).ids() == bpe.merged(word.piece, own.vocabulary.ranks)
 
 
-def test_html(spark):
-    page = '<html><head><title>t</title></head><body><nav>m</nav><article><h1>T &amp; U</h1><p>a&nbsp;b<br>c<p>d <i>e</i>f<script>"<p>x"</script><div class="comments">no</div></article><footer>f'
-    assert html_text.main_text(html_text.blocks(page)[0], None) == "T & U\n\na b c\n\nd ef"
-    plain = [(i, f"http://h.org/{i}", f'<body><div id="top">Home</div><div id="text"><p>{"word " * 30}{i}</p></div><div id="end">Imprint</div></body>') for i in range(5)]
-    edge = [(10, None, None), (11, "u", ""), (12, "u", "<p>un<clo"), (13, "http://one.org/", '<div class=menu>m</div><div>x</div>')]
-    got = {r["page_id"]: r for r in html_text.extract(spark.createDataFrame(plain + edge, "page_id long, url string, html string")).collect()}
-    assert got[3]["text"] == " ".join(["word"] * 30) + " 3" and got[3]["n_chars"] == len(got[3]["text"])
-    assert [got[i]["text"] for i in (10, 11, 12, 13)] == ["", "", "un", "x"]
-
-
-def test_html_template_decides(spark):
-    """Pages in plain divs on a host with one article page; articles that are teasers, or hold repeated texts."""
-    def page(i, body):
-        return f'<body><div id="top">Home About</div><div id="text">{body}</div><div id="end">Imprint</div></body>'
-
-    words = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
-    mixed = [(i, f"http://mixed.org/{i}", page(i, f"<p>{words(i)}</p>")) for i in range(6)] + [(6, "http://mixed.org/6", page(6, f"<article><p>{words(6)}</p></article>"))]
-    teaser = [(10 + i, f"http://teaser.org/{i}", f'<body><div id="text"><p>{words(10 + i)}</p></div><article>more t{i}</article></body>') for i in range(5)]
-    marked = [(20 + i, f"http://marked.org/{i}", f"<body><article><p>{words(20 + i)}</p><p>Read our rules</p></article></body>") for i in range(5)]
-    copies = [(30 + i, "http://copies.org/", f"<body><article><p>{words(30)}</p></article></body>") for i in range(5)]
-    got = html_text.extract(spark.createDataFrame(mixed + teaser + marked + copies, "page_id long, url string, html string")).collect()
-    assert {r["page_id"]: r["text"] for r in got} == {i: words(min(i, 30)) for i, _, _ in mixed + teaser + marked + copies}
-    found = html_text.templates(spark.createDataFrame(mixed + marked, "page_id long, url string, html string")).collect()
-    assert {(r["host"], len(r["repeated"])) for r in found} == {("mixed.org", 2), ("marked.org", 1)}
-
-
 def test_fingerprints(spark):
     random.seed(4)
     words = [f"w{i}" for i in range(500)]
