@@ -1,14 +1,15 @@
 """Language ID by nearest centroid: TF-IDF n-gram vectors against several centroids for each language.
 
-Fit: at most about FIT_ROWS rows that have a language, spread over the languages; byte 2- and 3-grams of the
-lower-cased text are hashed into DIM cells, weighted by log tf and idf and scaled to length 1; spherical k-means
+Fit: about FIT_ROWS rows that have a language, LEAST_ROWS for each language at least, picked by a hash of id and text, whatever
+the order of the rows (a repeated row counts once); more than MOST_LANGS languages stop the fit with an error; byte 2- and 3-grams of the
+lower-cased text are hashed into DIM cells of at most MOST_TIMES each, weighted by log tf and idf and scaled to length 1; spherical k-means
 gives up to CENTROIDS centroids for each language. A text gets the language of the centroid with the largest
 cosine; it is rejected if that cosine is less than what nearly all rows of a centroid reach that it was not fitted on:
 centroids of one half of a language's rows are compared with pieces of the other half, and the floor is the QUANTILE of
 their cosines by length, since short texts reach less. A language of fewer than LEAST_HELD rows rejects nothing.
 
-Nulls and texts without a letter: `und`, score 0, rejected. Empty fit set: every row `und`. Ties: the language
-first in alphabetic order. Repeated rows each get their own result; extra columns are ignored. Long texts are
+Nulls and texts without a letter: `und`, score 0, rejected. Empty fit set: every row `und`, none rejected by accepted(). No
+documents: no rows. Ties: the language first in alphabetic order. Repeated rows each get their own result; extra columns are ignored. Long texts are
 read whole, in blocks.
 """
 
@@ -27,6 +28,8 @@ from quadrille.llm.common import fold, map_rows, small_batches, table
 DIM = 2048
 FIT_ROWS = 4000
 CENTROIDS = 4
+#: Rows for each language, languages, and what a cell counts, in fits and scores.
+LEAST_ROWS, MOST_LANGS, MOST_TIMES = 8, 4000, 65_535
 #: The part of clean held-out pieces below the floor; the lengths (bytes) of pieces; rows below which there is no floor.
 QUANTILE, LENGTHS, LEAST_HELD = 0.02, (4, 8, 16, 32, 64, 128, 256, 512, 1024, 4096), 20
 BLOCK = 1 << 20
@@ -44,7 +47,7 @@ def grams(text: str) -> np.ndarray:
         two = two[:BLOCK]  # a pair that starts in the next block counts there
         out += np.bincount((two * np.uint32(2654435761)) >> np.uint32(21), minlength=DIM)
         out += np.bincount(((three + np.uint32(0x5BD1E995)) * np.uint32(2246822519)) >> np.uint32(21), minlength=DIM)
-    return out
+    return np.minimum(out, MOST_TIMES)
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -85,19 +88,22 @@ def floors(starts: list[bytes], own: np.ndarray, idf: np.ndarray) -> list[float]
 def fit(rows: DataFrame, most: int = FIT_ROWS) -> dict:
     """rows: doc_id, text, lang. The model: idf, centroids, their languages, the least cosines that count, by length."""
     rows = rows.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    per = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
+    per = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGS + 1).collect()}
     if not per:
         return {"langs": []}
-    share = most / len(per)
+    if len(per) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages: lang is no language")
+    share = max(LEAST_ROWS, most / len(per))
     keep = F.create_map(*[F.lit(v) for k, n in per.items() for v in (k, min(1.0, share / n))])
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < keep[F.col("lang")] * (1 << 20))
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    picked = rows.where(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < keep[F.col("lang")] * (1 << 20)).dropDuplicates(["lang", "h"])
 
     def count(batch):
         texts = batch.column("text").to_pylist()
-        return {"lang": batch.column("lang"), "counts": [np.minimum(grams(t), 65535).astype(np.uint16).tobytes() for t in texts],
+        return {"lang": batch.column("lang"), "counts": [grams(t).astype(np.uint16).tobytes() for t in texts],
                 "start": [t[: LENGTHS[-1]].encode("utf-8", "replace")[: LENGTHS[-1]] for t in texts]}
 
-    got = map_rows(picked, "lang string, counts binary, start binary", count).limit(2 * most).collect()
+    got = map_rows(picked, "lang string, counts binary, start binary", count).collect()  # the languages' shares, give or take chance
     if not got:
         return {"langs": []}
     got = sorted((r["lang"], bytes(r["counts"]), bytes(r["start"])) for r in got)

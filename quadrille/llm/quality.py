@@ -1,12 +1,13 @@
 """Quality rules: base counts, and calibrated logistic regression over hashed word and character n-grams.
 
-Fit: at most FIT_ROWS labelled rows (the first in order of a hash of doc_id); each gives counts of word 1- and
-2-grams and character 3- and 4-grams hashed into WORD_DIM and CHAR_DIM cells, as log counts scaled to length 1 for
-each part. Three quarters train the weights, the rest the two numbers of Platt's sigmoid. Scored in Arrow batches:
+Fit: at most FIT_ROWS labelled rows (the first in order of a hash of doc_id, whatever the order of the rows; a repeated
+id counts once); each gives counts of word 1- and 2-grams and character 3- and 4-grams hashed into WORD_DIM and CHAR_DIM
+cells of at most MOST_TIMES each, as log counts scaled to length 1 for each part. Three quarters train the weights, the rest the two numbers of Platt's sigmoid. Scored in Arrow batches:
 a document is kept if it passes the base rules and its probability of quality 1 is KEEP or more.
 
-Null text: no words, all counts 0, base_failed, not kept. Without labels of both kinds the base rules alone decide.
-Repeated rows each get their own result, ties can't arise, extra columns are ignored, texts are read whole.
+Null and empty text: no words, all counts 0, base_failed, not kept. Without labels of both kinds (empty tables, too) the base
+rules alone decide. No documents: no rows. Repeated rows each get their own result; a probability of just KEEP is kept;
+extra columns are ignored (accepted() keeps them); texts are read whole.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import map_rows, sample_ids, small_batches, table
+from quadrille.llm.common import labelled, map_rows, small_batches, table
 
 WORD_DIM, CHAR_DIM = 2048, 2048
 FIT_ROWS = 3000
+#: What a cell counts at most, in fits and scores.
+MOST_TIMES = 65_535
 KEEP = 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 BLOCK = 1 << 20
@@ -89,7 +92,7 @@ def features(raw: bytes, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         three = three[:BLOCK]
         char += np.bincount((three * np.uint32(2654435761)) >> np.uint32(21), minlength=CHAR_DIM)
         char += np.bincount(((four ^ np.uint32(0x5BD1E995)) * np.uint32(2246822519)) >> np.uint32(21), minlength=CHAR_DIM)
-    return word, char
+    return np.minimum(word, MOST_TIMES), np.minimum(char, MOST_TIMES)
 
 
 def scaled(word: np.ndarray, char: np.ndarray) -> np.ndarray:
@@ -114,17 +117,14 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float, rounds: int = 250, rate: f
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> dict | None:
     """Weights, bias and the two numbers of Platt's sigmoid; None without labels of both kinds."""
-    ids = F.broadcast(sample_ids(labels, "quality", most))  # at most `most` rows of two numbers
-    rows = docs.where("text is not null").select("doc_id", "text").join(ids, "doc_id")
-
     def count(batch):
         made = []
         for t in batch.column("text").to_pylist():
             raw = t.encode("utf-8", "replace")
-            made.append(np.minimum(np.concatenate(features(raw, word_codes(raw)[1])), 65535).astype(np.uint16).tobytes())
+            made.append(np.concatenate(features(raw, word_codes(raw)[1])).astype(np.uint16).tobytes())
         return {"doc_id": batch.column("doc_id"), "y": batch.column("y"), "counts": made}
 
-    got = map_rows(rows, "doc_id long, y int, counts binary", count).limit(2 * most).collect()
+    got = map_rows(labelled(docs, labels, "quality", most), "doc_id long, y int, counts binary", count).collect()  # at most `most` rows
     got = sorted((r["doc_id"], r["y"], bytes(r["counts"])) for r in got)
     y = np.array([r[1] for r in got], np.float32)
     if len(set(y.tolist())) < 2:
