@@ -7,11 +7,14 @@ Reading: the source splits files at every version line, also at those inside pay
 record; its header gives the offset at which its successor must start. Within a split the candidates' pointers are
 jumped (doubled) until they leave it; between splits, over the few targets of such exits, by joins, again doubling;
 only what is reached from a file's start is a record. Reached records that lie in one chunk are digested where they are
-read; those whose payload holds version lines are put together from their chunks.
+read; those whose payload holds version lines are put together from their chunks. What a scan says of its splits is stored
+once, and a second scan finds chunks again by two hashes of their text, so it may be split in any other way; a reached record
+whose text is not found whole, or a chain that doesn't settle, stops the run with an error.
 
 Null html: an empty payload. Null url: no target header. Null page_id: no id header, always a response, never referred
-to. Repeated rows: a record each; rows that share the smallest id are all responses. Line breaks in a url are escaped.
-Extra columns are ignored; payloads of any bytes that form UTF-8 text, of any length below 2 GB, are kept whole.
+to. Repeated rows: a record each; ties: rows that share the smallest id are all responses. Line breaks in a url are escaped.
+No pages: no records. Extra columns are ignored; payloads of any bytes that form UTF-8 text, of any length below 2 GB, are
+kept whole.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import shared_path, small_batches, stored, table
+from quadrille.llm.common import delete_later, discard, shared_path, small_batches, stored, table
 
 VERSION = "WARC/1.0\r\n"
 BREAK = "\r\n\r\n"
@@ -78,10 +81,11 @@ def write(pages: DataFrame, path: str) -> None:
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
-    """file, block (start of the split), k (order within it), value: what lies between version lines."""
+    """file, block (start of the split), k (order within it), h1, h2 (of the text), value: what lies between version lines.
+    block and k hold for one scan only."""
     text = spark.read.option("lineSep", VERSION).text(path)
     return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-                       F.monotonically_increasing_id().alias("k"), "value")
+                       F.monotonically_increasing_id().alias("k"), F.xxhash64("value").alias("h1"), F.xxhash64(F.lit(1), "value").alias("h2"), "value")
 
 
 def fields(head: F.Column) -> dict[str, F.Column]:
@@ -104,14 +108,14 @@ def candidates(parts: DataFrame) -> DataFrame:
     raw = F.col("value").cast("binary")
     head = F.substring_index("value", BREAK, 1)
     rows = parts.withColumn("head", F.when(F.instr("value", BREAK) > 0, head)).withColumn("size", F.octet_length("value"))
-    rows = rows.select("file", "block", "k", "size", "value", F.octet_length("head").alias("head_bytes"), *[c.alias(n) for n, c in fields(F.col("head")).items()])
+    rows = rows.select("file", "block", "k", "h1", "h2", "size", "value", F.octet_length("head").alias("head_bytes"), *[c.alias(n) for n, c in fields(F.col("head")).items()])
     start = F.col("head_bytes") + len(BREAK)
     whole = F.col("size") == start + F.col("content") + len(BREAK)
     body = F.when(whole, F.substring(raw, (start + 1).cast("int"), F.col("content").cast("int")))
     rows = rows.withColumn("body", body).withColumn("skip", http_bytes("body"))
     found = F.substring(F.col("body"), (F.col("skip") + 1).cast("int"), F.lit((1 << 31) - 1))
     return rows.withColumn("whole", F.coalesce(whole, F.lit(False))).withColumn("found", found).select(
-        "file", "block", "k", "size", "record_type", "page_id", "refers_to", "url", "told_digest", "told_bytes", "content", "head_bytes", "whole",
+        "file", "block", "k", "h1", "h2", "size", "record_type", "page_id", "refers_to", "url", "told_digest", "told_bytes", "content", "head_bytes", "whole",
         F.sha2("found", 256).alias("payload_digest"), F.octet_length("found").cast("long").alias("payload_bytes"))
 
 
@@ -153,14 +157,17 @@ def reached(rows: DataFrame) -> DataFrame:
     targets = out.select("file", F.col("exit").alias("start")).union(out.select("file", F.lit(0).cast("long").alias("start"))).distinct()
     nodes = stored(out.join(targets, ["file", "start"], "left_semi").select("file", "block", "start", "exit"), "nodes")
     jump, seen = nodes.select("file", "start", "exit"), nodes.where("start = 0").select("file", "start")
+    count = seen.count()
     for _ in range(JUMPS):
         there = seen.join(jump, ["file", "start"]).select("file", F.col("exit").alias("start")).join(nodes, ["file", "start"], "left_semi")
-        more = stored(seen.union(there).distinct(), "seen")
-        if more.count() == seen.count():
+        seen = stored(seen.union(there).distinct(), "seen")
+        before, count = count, seen.count()
+        if count == before:
             break
-        seen = more
         far = jump.select("file", F.col("start").alias("exit"), F.col("exit").alias("far"))
         jump = stored(jump.join(far, ["file", "exit"], "left").select("file", "start", F.coalesce("far", "exit").alias("exit")), "jump")
+    else:
+        raise RuntimeError("the chains of records did not settle")
     entered = seen.join(nodes.select("file", "start", "block"), ["file", "start"]).select("file", "block", F.col("start").alias("entry"))
 
     def follow(frame: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
@@ -182,26 +189,44 @@ def reached(rows: DataFrame) -> DataFrame:
         follow, "file string, block long, k long, start long, next long")
 
 
+def owned(rows: DataFrame, real: DataFrame) -> DataFrame:
+    """file, from, start, h1, h2: the chunks of each record that isn't whole in its own chunk. A chunk belongs to the last record
+    that starts at or before it: in its split, else in the splits before; real: the reached records, with `whole`."""
+    heads = real.select("file", "block", "k", F.struct(F.col("start").alias("from"), (~F.col("whole")).alias("torn")).alias("head"))
+    marked = rows.select("file", "block", "k", "start", "h1", "h2").join(heads, ["file", "block", "k"], "left")
+    carried = heads.groupBy("file", "block").agg(F.max("head").alias("last"))  # a row for each split
+    splits = rows.select("file", "block").distinct().join(carried, ["file", "block"], "left")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "block", F.last("last", ignorenulls=True).over(before).alias("carried"))
+    here = Window.partitionBy("file", "block").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("own", F.last("head", ignorenulls=True).over(here)).join(splits, ["file", "block"])
+    marked = marked.withColumn("own", F.coalesce("own", "carried"))
+    return marked.where("own.torn").select("file", F.col("own.from").alias("from"), "start", "h1", "h2")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """page_id, url, record_type, refers_to, payload_bytes, payload_digest, told_digest of the records of all archives."""
     small_batches(spark)
-    rows = stored(offsets(candidates(chunks(spark, path))), "candidates")
+    raw = stored(candidates(chunks(spark, path)), "chunks")
+    rows = stored(offsets(raw), "candidates")
+    discard(raw)
     real = stored(reached(rows), "reached")
     records = rows.join(real.select("file", "block", "k"), ["file", "block", "k"])
     answer = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "told_digest", "told_bytes"]
     plain = records.where("whole").select(*answer)
-    torn = stored(records.where("not whole").select("file", "start", "next", "head_bytes", "content", *[c for c in answer if c not in ("payload_bytes", "payload_digest")]), "torn")
+    torn = stored(records.where("not whole").select("file", "start", "head_bytes", "content", *[c for c in answer if c not in ("payload_bytes", "payload_digest")]), "torn")
     if torn.isEmpty():
         return plain
-    # the chunks of a torn record: those from its start to its successor's, found over the few files that have one
-    spans = torn.select("file", F.col("start").alias("from"), F.col("next").alias("to"))
-    owned = rows.select("file", "block", "k", "start").join(spans, "file").where("start >= from and start < to")
-    owned = owned.select("file", "block", "k", "start", "from")
-    text = chunks(spark, path).join(owned, ["file", "block", "k"])
-    whole = text.groupBy("file", "from").agg(F.array_sort(F.collect_list(F.struct("start", "value"))).alias("parts"))
-    whole = whole.select("file", F.col("from").alias("start"), F.array_join(F.transform("parts", lambda p: p["value"]), VERSION).alias("value"))
-    raw = F.substring(F.col("value").cast("binary"), (F.col("head_bytes") + len(BREAK) + 1).cast("int"), F.col("content").cast("int"))
-    both = torn.join(whole, ["file", "start"]).withColumn("body", raw)
+    parts = stored(owned(rows, records.select("file", "block", "k", "start", "whole")), "owned")
+    wanted = parts.select("h1", "h2").distinct()
+    text = chunks(spark, path).select("h1", "h2", "value").join(wanted, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
+    found = parts.join(text, ["h1", "h2"], "left")  # the chunks of one record become one row
+    whole = found.groupBy("file", F.col("from").alias("head")).agg(F.max(F.col("value").isNull()).alias("missing"), F.array_sort(F.collect_list(F.struct("start", "value"))).alias("parts"))
+    whole = whole.select("file", F.col("head").alias("start"), "missing", F.array_join(F.transform("parts", lambda p: p["value"]), VERSION).alias("value"))
+    bytes_of = F.substring(F.col("value").cast("binary"), (F.col("head_bytes") + len(BREAK) + 1).cast("int"), F.col("content").cast("int"))
+    both = torn.join(whole, ["file", "start"], "left").withColumn("body", bytes_of)
+    lost = F.coalesce(F.col("missing") | (F.octet_length("body") != F.col("content")), F.lit(True))
+    both = both.withColumn("body", F.when(lost, F.raise_error(F.lit("a record of the archive was not read whole")).cast("binary")).otherwise(F.col("body")))
     both = both.withColumn("found", F.substring(F.col("body"), (http_bytes("body") + 1).cast("int"), F.lit((1 << 31) - 1)))
     both = both.withColumn("payload_digest", F.sha2("found", 256)).withColumn("payload_bytes", F.octet_length("found").cast("long"))
     return plain.unionByName(both.select(*answer))
@@ -211,6 +236,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, as read back from the archives of the pages."""
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
+    delete_later(spark, path)
     write(pages, path)
     old = F.col("record_type") == "revisit"
     return read(spark, path).select(

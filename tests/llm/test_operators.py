@@ -14,7 +14,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quadrille.llm import bpe, fingerprints, jaccard_join, language_id, licenses, packing, quality, registry, warc
+from quadrille.llm import bpe, fingerprints, jaccard_join, language_id, licenses, packing, quality, registry, toxicity, warc
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, n long, key string"
@@ -93,6 +93,19 @@ def test_warc(spark, edge_dir):
         assert sorted(map(repr, got)) == sorted(map(repr, expected))
 
 
+def test_warc_split_anew(spark, edge_dir):
+    """Other splits between building the result and running it, as when executors come or go."""
+    pages = spark.read.parquet(f"{edge_dir}/pages.parquet")
+    more = pages.unionByName(spark.range(10, 400).selectExpr("id as page_id", "'u' as url", "repeat(concat('p', id, ' WARC/1.0\\r\\n'), 50 + id % 7) as html", "1 as host"))
+    for before, after in (("134217728", "3000"), ("3000", "134217728")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        made = warc.round_trip(more)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", after)
+        got = {(r["page_id"], r["payload_bytes"], r["payload_digest"]) for r in made.collect()}
+        assert got == {(r["page_id"], len((r["html"] or "").encode()), hashlib.sha256((r["html"] or "").encode()).hexdigest()) for r in more.collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "134217728")
+
+
 def test_leaps():
     start, onward = np.array([0, 10, 20, 30]), np.array([20, 999, 30, 77])
     assert warc.leaps(start, onward).tolist() == [77, 999, 77, 77]
@@ -192,17 +205,74 @@ def test_models_on_held_out_rows(spark):
     docs, labels = ({r["doc_id"]: r for r in spark.read.parquet(f"{SF}/{t}.parquet").collect()} for t in ("documents", "labels"))
     lang = [r for r in rows(spark, "op7_language_id", SF) if r["held_out"]]
     assert np.mean([r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in lang]) > 0.97
-    toxic = [(r["predicted"], labels[r["doc_id"]]["toxic"]) for r in rows(spark, "op10_toxicity", SF) if r["held_out"] and r["doc_id"] in labels]
-    assert np.mean([p == y for p, y in toxic]) > 0.95
     kept = [(r["kept"], labels[r["doc_id"]]["quality"]) for r in rows(spark, "op3_quality_rules", SF) if r["doc_id"] in labels and not r["base_failed"]]
     assert np.mean([p == bool(y) for p, y in kept]) > 0.97
 
 
+def test_toxicity_recall_and_precision(spark):
+    """On the held-out labelled rows of sf0.1, where 144 of 1344 are toxic."""
+    d = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    got = [(r["predicted"], labels[r["doc_id"]]) for r in rows(spark, "op10_toxicity", d) if r["held_out"] and r["doc_id"] in labels]
+    hits = sum(p for p, y in got if y)
+    assert hits >= 0.88 * sum(y for _, y in got) and hits >= 0.97 * sum(p for p, _ in got)
+
+
+def test_toxicity_pairs():
+    """Two words that are harmless alone and toxic together, and near copies that count once."""
+    random.seed(1)
+
+    def text(toxic):
+        k, own = random.random(), random.choices([f"w{i}" for i in range(400)], k=60)
+        return " ".join(own + (["alpha", "beta"] if toxic else ["alpha"] if k < 0.3 else ["beta"] if k < 0.6 else []))
+
+    data = [(toxicity.terms_of(text(i % 4 == 0)), int(i % 4 == 0)) for i in range(1500)]
+    model = toxicity.learned(data + data[:4] * 300)
+    assert {toxicity.code("alpha"), toxicity.code("beta")} <= set(model["place"])
+
+    def scored(t):
+        x = np.zeros((1, len(model["place"])))
+        for c in toxicity.terms_of(t).tolist():
+            if c in model["place"]:
+                x[0, model["place"][c]] = 1
+        return 1 / (1 + np.exp(-toxicity.output(x, model)[0]))
+
+    assert scored("w1 alpha w2 beta") >= toxicity.TOXIC > 0.5 > max(scored("w1 alpha w2"), scored("w1 beta w2"), scored(""))
+
+
+def test_fits_do_not_depend_on_row_order(spark):
+    """The same rows in two orders and partitionings, with one id repeated 9,000 times and bounds that bind."""
+    def drawn(i):
+        return " ".join(random.choices(["good", "fine", "text", "word", "line"] if i % 2 else ["bad", "junk", "spam", "text", "word"], k=30)) + f" n{i}"
+
+    random.seed(2)
+    docs = [(i, drawn(i), "en" if i % 2 else "de") for i in range(300)] + [(7, f"copy {k % 3} good fine text", "en") for k in range(9000)] + [(None, "x y z", "en")]
+    labels = [(i, i % 2, 1 - i % 2) for i in range(300)] + [(7, 1, 0)] * 50
+    both = []
+    for seed in (1, 2):
+        own, told = list(docs), list(labels)
+        random.Random(seed).shuffle(own)
+        random.Random(seed).shuffle(told)
+        df = spark.createDataFrame(own, "doc_id long, text string, lang string").repartition(2 + 3 * seed)
+        marks = spark.createDataFrame(told, "doc_id long, quality int, toxic int").repartition(seed)
+        both.append((quality.fit(df, marks, 100), toxicity.fit(df, marks, 100), language_id.fit(df, 100)))
+    for a, b in zip(*both, strict=True):
+        assert a and set(a) == set(b)
+        for k in a:
+            assert np.array_equal(np.array(list(a[k].items()) if isinstance(a[k], dict) else a[k]), np.array(list(b[k].items()) if isinstance(b[k], dict) else b[k]))
+
+
+def test_long_texts_have_the_same_features_in_fits_and_scores():
+    long = "a b " * 100_000
+    assert quality.features(long.encode(), quality.word_codes(long.encode())[1])[0].max() == quality.MOST_TIMES
+    assert language_id.grams(long).max() == language_id.MOST_TIMES
+
+
 def test_language_edges(spark, edge_dir):
     got = {r["doc_id"]: r for r in rows(spark, "op7_language_id", edge_dir)}
     assert [got[i]["lang_pred"] for i in (1, 2, 5, 10)] == ["und"] * 4
     assert got[6]["held_out"] == (zlib.crc32(b"6") % 3 == 1)
-    whole = "ab" * (language_id.BLOCK // 2 + 5)
+    whole = "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=language_id.BLOCK + 10))
     assert language_id.grams(whole).sum() == 2 * len(whole) - 3
 
 
