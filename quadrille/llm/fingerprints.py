@@ -1,9 +1,10 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions only.
 
-A text's terms are its words between blanks and line ends, weighted by how often they occur. Sample k takes from each
+A text's terms are its words between white space, weighted by how often they occur; of words of more than LONG_BYTES bytes,
+as in scripts that write no blanks, it is all runs of GRAM characters. Sample k takes from each
 term, by hashing it with k, r and c from Gamma(2, 1) and beta from (0, 1); t = floor(ln w / r + beta) and
 ln a = ln c - r (t - beta) - r. The term with the least ln a and its t are the sample, so two texts agree in it with a
-probability equal to their generalised Jaccard similarity. ln a, in fixed point, and a 32-bit hash of (term, t) are
+probability equal to their generalised Jaccard similarity (the standard deviation of the likeness is 0.09 at most). ln a, in fixed point, and a 32-bit hash of (term, t) are
 packed into one number: a fingerprint is SAMPLES minima of numbers, which Spark aggregates before it moves anything.
 
 The next document of a text is found by a range partitioning of the ids; only its first characters move to it.
@@ -19,7 +20,11 @@ from pyspark.sql import functions as F
 
 from quadrille.llm.common import stored, table
 
-SAMPLES = 24
+SAMPLES = 32
+#: Bytes above which a word has runs of characters as terms, and their length.
+LONG_BYTES, GRAM = 64, 5
+#: White space, besides the blank, that ends a word.
+WHITE = "\n\t\r\u3000"
 #: Stands for a null id.
 NO_ID = -(1 << 63)
 #: Characters of a partition, so that its terms are counted in memory; partitions at most.
@@ -47,7 +52,15 @@ def sample(term: F.Column, log_weight: F.Column, k: int) -> F.Column:
 def fingerprints(texts: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """keys, and c_print for each of the (at most two) text columns c. texts should be partitioned by the keys: then
     nothing moves. The lowest bit of a term's hash says which column it is from."""
-    words = lambda c: F.split(F.replace(F.col(c), F.lit("\n"), F.lit(" ")), " ")
+    def words(c: str) -> F.Column:
+        text = F.col(c)
+        for white in WHITE:
+            text = F.replace(text, F.lit(white), F.lit(" "))
+        split = F.split(text, " ")
+        long = F.exists(split, lambda w: F.octet_length(w) > LONG_BYTES)
+        grams = F.transform(split, lambda w: F.when(F.octet_length(w) > LONG_BYTES, F.regexp_extract_all(w, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))).otherwise(F.array(w)))
+        return F.when(long, F.flatten(grams)).otherwise(split)
+
     each = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("version"), words(c).alias("words")) for i, c in enumerate(columns)]))
     rows = texts.select(*keys, each.alias("e")).select(*keys, "e.version", F.explode("e.words").alias("word"))
     term = F.xxhash64("word").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("version"))

@@ -14,7 +14,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quadrille.llm import bpe, fingerprints, jaccard_join, language_id, licenses, packing, quality, registry, toxicity, warc
+from quadrille.llm import bpe, jaccard_join, language_id, licenses, packing, quality, registry, toxicity, warc
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, n long, key string"
@@ -396,26 +396,6 @@ def test_bpe():
     assert word.ids() == bpe.PrefixEncoder(own.vocabulary, word.piece).ids() == bpe.merged(word.piece, own.vocabulary.ranks)
 
 
-def test_fingerprints(spark):
-    random.seed(4)
-    words = [f"w{i}" for i in range(500)]
-    docs = [(i, " ".join(random.choices(words, k=400))) for i in range(60)] + [(60, None), (61, ""), (62, "same text"), (63, "same text"), (63, "same text"), (None, "ab")]
-    got = fingerprints.compared(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in docs)
-    order = sorted({(i if i is not None else -1, t or "") for i, t in docs})
-    by = {r["doc_id"] if r["doc_id"] is not None else -1: r for r in got}
-    errors = []
-    for k, (i, t) in enumerate(order):
-        nxt = order[(k + 1) % len(order)][1]
-        q = len(t) // 4
-        edited = t[: len(t) - q] + nxt[:q]
-        assert (by[i]["n_chars"], by[i]["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        a, b = (Counter(x.replace("\n", " ").split(" ")) for x in (t, edited))
-        errors.append(by[i]["near_edited"] - sum((a & b).values()) / sum((a | b).values()))
-    assert abs(np.mean(errors[1:61])) < 0.05 and max(map(abs, errors)) < 0.5
-    assert by[62]["fingerprint"] == by[63]["fingerprint"] and by[62]["near_next"] == 1.0 and by[60]["fingerprint"] == by[61]["fingerprint"]
-
-
 def test_pipeline(spark, edge_dir):
     docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
