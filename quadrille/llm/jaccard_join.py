@@ -15,12 +15,13 @@ A document's set holds the 64-bit hashes of its distinct 5-word shingles. Two do
    are accumulated (for columns where many pairs meet, by products of two blocks of rows that yield no pair but those
    that pass), pairs below their size-derived bound are discarded, and the rest compared exactly. Pairs within a
    component can't change the components and are not made here.
-5. Links (with_links): every link lies inside a component, so the whole sets of each component are multiplied block by
-   block, all pairs of them, and each row's links are summed; no pair is written.
+5. Links: every link lies inside a component, so the whole sets of each component are multiplied block by block, and each
+   row's links are summed; no pair is written. This work grows with the square of a component's different sets.
 
 Null text, empty text: n_shingles 0, linked with nothing. Fewer than five words: the sequence is the one shingle.
-Null ids are rows of their own and never the name of a component unless it has no other. Repeated rows, equal texts:
-one component. Extra columns are ignored. Texts are read whole.
+Rows without an id link like others, but never name a component: one of only such rows has a null component_id. Repeated
+rows, equal texts: one component, each a link of the others. Ties: pivots of equal share by their signature. No documents: no
+rows. Extra columns are ignored. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -50,6 +51,8 @@ LINK_BLOCK, LINK_SIZE = 512, 1000
 #: Bits of the filter that says whose sets a comparison needs, at most.
 FILTER_BITS = 26
 MASK = (1 << 63) - 1
+#: Stands for a null id where texts are looked up.
+NO_ID = -(1 << 63)
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 FOLD = bytes.maketrans(UPPER, LOWER)
 
@@ -179,7 +182,7 @@ def shared_entries(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sid, own: the whole sets of the wanted rows (sid, doc_id). A filter of bounded size, made by the tasks, says
+    """sid, own: the whole sets of the wanted rows (sid, doc_id; NO_ID for null). A filter of bounded size, made by the tasks, says
     which texts to hash again; the join removes what it lets through in error."""
     spark = docs.sparkSession
     n = wanted.count()
@@ -199,10 +202,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id")
-            known = np.array([x is not None for x in ids.to_pylist()], bool)
-            at = place(ids.fill_null(0).to_numpy(), bits)
-            hit = np.flatnonzero(known & ((sent.value[at >> 3] >> (7 - (at & 7))) & 1).astype(bool))
+            ids = batch.column("doc_id").fill_null(NO_ID)
+            at = place(ids.to_numpy(), bits)
+            hit = np.flatnonzero((sent.value[at >> 3] >> (7 - (at & 7))) & 1)
             texts, rows = batch.column("text"), []
             for i in hit.tolist():
                 own = shingles(texts[i].as_py())
@@ -254,7 +256,9 @@ def star_pairs(entries: DataFrame, number: int) -> DataFrame:
     order = F.col("part") if number == 0 else F.xxhash64("sid", F.lit(number)).cast("double")
     pivot = entries.groupBy("key").agg(F.max_by(F.struct("sid", "n", "comp"), F.struct(order, "sid")).alias("p"),
                                        F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    pairs = entries.join(pivot.select("key", F.col("p.sid").alias("b"), F.col("p.n").alias("m"), F.col("p.comp").alias("to")), "key")
+    # stored: a join of two tables, which adaptive execution can split where one column holds very many rows
+    pivot = stored(pivot.select("key", F.col("p.sid").alias("b"), F.col("p.n").alias("m"), F.col("p.comp").alias("to")), "pivots")
+    pairs = entries.join(pivot, "key")
     pairs = pairs.where((F.col("comp") != F.col("to")) & close_in_size("n", "m"))
     pairs = pairs.groupBy(F.col("sid").alias("a"), "b", "n", "m").count()
     return pairs.where(F.col("count") >= STAR_SHARE * F.least(kept_columns("n"), kept_columns("m"))).select("a", "b")
@@ -335,7 +339,8 @@ def blocked_pairs(entries: DataFrame, per: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows doc_id, n, sid, other, chunk, part, and sid, component_id of the sets of rows with an id."""
+    """The rows doc_id, n, sid, other, chunk, part, and sid, root, component_id of their sets; root: a signature, one for each
+    component."""
     small_batches(docs.sparkSession)
     made = stored(signed(docs), "signed")
     rows = made.where("chunk is null")
@@ -343,7 +348,8 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not clash.isEmpty():
         raise RuntimeError("two different sets have the same 64-bit signature")
     counts = summed(made.where("chunk is not null").select("chunk", "part"), 1 << BUCKET_BITS)
-    first = rows.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    named = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    first = named.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     bare = stored(shared_entries(docs, counts), "entries")
     shared = bare.groupBy("sid", "n").agg(F.count("*").alias("k")).select("sid", (F.col("k") / kept_columns("n")).alias("part"))
     entries = stored(bare.join(shared, "sid"), "entries")
@@ -367,9 +373,12 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
     if roots is None:
         roots = rows.select(F.col("sid").alias("id"), F.col("sid").alias("root")).limit(0)
-    names = first.join(roots, first["sid"] == roots["id"], "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
-    least = names.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows, stored(names.join(least, "root").select("sid", "component_id"), "names")
+    names = stored(named.join(roots, named["sid"] == roots["id"], "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root")), "named")
+    least = stored(names.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")  # stored: see star_pairs
+    found = stored(names.join(least, "root").select("sid", "root", "component_id"), "names")
+    for t in (names, least, entries):
+        discard(t)
+    return rows, found
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -379,8 +388,9 @@ def linked(docs: DataFrame) -> DataFrame:
 
 def told(rows: DataFrame, names: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, sid of every row."""
-    own = rows.where("n > 0").join(names, "sid", "left").union(rows.where("n = 0").withColumn("component_id", F.lit(None).cast("long")).select("sid", "doc_id", "n", "other", "chunk", "part", "component_id"))
-    return own.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "sid")
+    own = rows.select("doc_id", F.col("n").alias("n_shingles"), "sid")
+    full = own.where("n_shingles > 0").join(names.select("sid", "component_id"), "sid", "left").select("doc_id", "n_shingles", "component_id", "sid")
+    return full.union(own.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "sid"))
 
 
 def links_between(left, right) -> tuple[np.ndarray, np.ndarray]:
@@ -409,11 +419,13 @@ def links_of_sets(docs: DataFrame, rows: DataFrame, names: DataFrame) -> DataFra
     """sid, links: of each set in a component of several, the documents with other sets that it links with.
 
     The sets of a component are dealt in blocks, and a task holds two of them; small components share tasks."""
-    ids = rows.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies"))
-    members = stored(ids.join(names, "sid"), "members")
-    size = members.groupBy("component_id").agg(F.count("*").alias("c"), F.sum("n").alias("of")).where("c > 1")
+    ids = rows.where("n > 0").groupBy("sid").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    size = names.groupBy("root").agg(F.count("*").alias("c")).where("c > 1").select("root")
+    grouped_names = names.join(stored(size, "several"), "root", "left_semi").select("sid", "root")
+    members = stored(ids.join(grouped_names, "sid"), "members")
+    size = members.groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("of"))
     parts = F.greatest(F.ceil(F.col("c") / LINK_BLOCK), F.ceil(F.col("of") / (LINK_BLOCK * LINK_SIZE))).cast("int")
-    members = stored(members.join(size.select("component_id", parts.alias("parts")), "component_id"), "members")
+    members = stored(members.join(stored(size.select("root", parts.alias("parts")), "sizes"), "root"), "members")
     held = members.agg(F.count("*").alias("c"), F.sum("n").alias("of")).first()
     bundles = max(1, held["c"] // LINK_BLOCK, (held["of"] or 0) // (LINK_BLOCK * LINK_SIZE))
     sets = stored(sets_of(docs, members.select("sid", "doc_id")), "sets")
@@ -423,14 +435,14 @@ def links_of_sets(docs: DataFrame, rows: DataFrame, names: DataFrame) -> DataFra
     as_left = F.transform(F.filter(every, lambda j: j >= F.col("block")), lambda j: spot(F.col("block"), j, 0))
     as_right = F.transform(F.filter(every, lambda j: j <= F.col("block")), lambda i: spot(i, F.col("block"), 1))
     small = F.col("parts") == 1
-    bundle = F.when(small, F.pmod(F.xxhash64("component_id"), F.lit(bundles))).otherwise(F.col("component_id"))
+    bundle = F.when(small, F.pmod(F.xxhash64("root"), F.lit(bundles))).otherwise(F.col("root"))
     spots = F.when(small, F.array(spot(F.lit(0), F.lit(0), -1))).otherwise(F.concat(as_left, as_right))
     dealt = members.join(sets.select("sid", "own"), "sid").withColumn("block", block).withColumn("bundle", bundle)
-    dealt = dealt.select("component_id", "sid", "n", "copies", "own", "bundle", small.alias("small"), F.explode(spots).alias("s")).select("*", "s.*").drop("s")
+    dealt = dealt.select("root", "sid", "n", "copies", "own", "bundle", small.alias("small"), F.explode(spots).alias("s")).select("*", "s.*").drop("s")
 
     def product(frame):
         sids, links = [], []
-        for _, own in frame.groupby("component_id", sort=False):
+        for _, own in frame.groupby("root", sort=False):
             x, y = (own, own) if own["side"].iloc[0] < 0 else (own[own["side"] == k] for k in (0, 1))
             if len(x) and len(y):
                 of_left, of_right = links_between(x, y)
@@ -445,14 +457,13 @@ def links_of_sets(docs: DataFrame, rows: DataFrame, names: DataFrame) -> DataFra
 
 def with_links(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links: the number of other documents that a document links with, those of an
-    equal set, too. Rows without an id and empty sets have no links. Half the sum is the number of links of the join."""
+    equal set, too. Half the sum is the number of links of the join."""
     docs = docs.select("doc_id", "text")
     rows, names = grouped(docs)
-    copies = rows.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.count("*").alias("copies"))
-    degree = copies.join(links_of_sets(docs, rows, names), "sid", "left").select("sid", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    copies = rows.where("n > 0").groupBy("sid").agg(F.count("*").alias("copies"))
+    degree = copies.join(links_of_sets(docs, rows, names), "sid", "left").select("sid", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     out = told(rows, names).join(stored(degree, "degree"), "sid", "left")
-    counts = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    return out.select("doc_id", "n_shingles", "component_id", F.when(counts, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
 #: Ids to remove up to this number are broadcast (8 bytes each), more are joined by a shuffle.
@@ -468,10 +479,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked(table(spark, sf_dir, "documents"))
-
-
-def links_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_links(table(spark, sf_dir, "documents"))
 
 
@@ -488,6 +495,8 @@ s AS (SELECT doc_id, unnest(g) AS g FROM l),
 c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
 u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+k AS (SELECT a AS doc_id, count(*) AS k FROM u GROUP BY a),
 r AS (SELECT doc_id, doc_id AS at FROM n UNION SELECT r.doc_id, u.b FROM r JOIN u ON u.a = r.at)
-SELECT n.doc_id, any_value(n.n) AS n_shingles, min(r.at) AS component_id FROM n JOIN r USING (doc_id) GROUP BY n.doc_id
+SELECT n.doc_id, any_value(n.n) AS n_shingles, min(r.at) AS component_id, coalesce(any_value(k.k), 0)::BIGINT AS n_links
+FROM n JOIN r USING (doc_id) LEFT JOIN k USING (doc_id) GROUP BY n.doc_id
 """

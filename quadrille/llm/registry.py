@@ -11,7 +11,6 @@ QUERIES: dict = {
     "op3_quality_rules": quality.query,
     "op4_license_scans": licenses.query,
     "op5_ngram_jaccard_join": jaccard_join.query,
-    "op5_ngram_jaccard_links": jaccard_join.links_query,
     "op6_byte_level_bpe": bpe.query,
     "op7_language_id": language_id.query,
     "op8_html_extraction": html_text.query,

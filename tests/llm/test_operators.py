@@ -363,16 +363,23 @@ def test_jaccard_links(spark, monkeypatch):
             texts.append(" ".join(copy))
     docs = [*enumerate([*texts, texts[0], texts[0].upper(), texts[-1], None, "", "one two", "One two", "alone"]), (None, texts[0])]
     got = jaccard_join.with_links(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    sets, links = {i: shingle_set(t) for i, t in docs if i is not None}, Counter()
-    for a in sets:
-        for b in sets:
-            if a != b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                links[a] += 1
-    assert {r["doc_id"]: r["n_links"] for r in got} == {None: 0} | {i: links[i] for i in sets}
+    sets, links = [(i, shingle_set(t)) for i, t in docs], Counter()
+    for k, (a, x) in enumerate(sets):
+        links[a] += sum(k != m and len(x) > 0 and 100 * len(x & y) >= 80 * len(x | y) for m, (_, y) in enumerate(sets))
+    assert {r["doc_id"]: r["n_links"] for r in got} == {i: links[i] for i, _ in docs}
     assert sum(links.values()) // 2 > len(texts)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == roots([x for x in docs if x[0] is not None])
 
 
+def test_jaccard_rows_without_ids(spark):
+    """A near copy without an id links like others, also as the only link between two; alone it names no component."""
+    words = [f"w{i}" for i in range(100)]
+    near = words[:93] + [f"x{i}" for i in range(7)]
+    docs = [(5, " ".join(words)), (None, " ".join(near)), (9, " ".join(near[7:] + [f"z{i}" for i in range(7)])), (None, "no one is like this text here"), (None, None), (20, "same as no one"), (None, "same as no one")]
+    got = Counter((r["doc_id"], r["component_id"], r["n_links"]) for r in jaccard_join.with_links(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == Counter([(5, 5, 1), (None, 5, 2), (9, 5, 1), (None, None, 0), (None, None, 0), (20, 20, 1), (None, 20, 1)]), got
+
+
 def test_summed(spark):
     chunk = jaccard_join.CHUNK
     parts = [(k, np.full(chunk, k + i, np.int32).tobytes()) for k in (0, 2) for i in range(50)]
