@@ -11,10 +11,6 @@ MORTON_SCALE = 1e6
 DEPTH = 17
 
 
-def box(alias: str) -> list[Column]:
-    return [F.col(f"{alias}.{c}") for c in ("min_x", "min_y", "max_x", "max_y")]
-
-
 def intersects(a: list[Column], b: list[Column]) -> Column:
     """Closed overlap: touching boxes intersect. A box that covers another one intersects it, too."""
     return (a[0] <= b[2]) & (b[0] <= a[2]) & (a[1] <= b[3]) & (b[1] <= a[3])
@@ -60,10 +56,13 @@ def morton(x: Column, y: Column) -> Column:
 
 def tree_path(x: Column, y: Column, root: list[Column], depth: int = DEPTH) -> Column:
     """Base-4 code of the quadrants from the root down: 2 for the lower half, 1 for the right one. Points outside the
-    root go to the nearest side. Exact for coordinates on a dyadic grid, as halving is."""
+    root go to the nearest side. The quotient is off by one at most; the cell's own sides, which are exact where halving is, decide."""
     def place(v: Column, low: Column, high: Column) -> Column:
         n = 1 << depth
-        return F.least(F.greatest(F.floor((v - low) / (high - low) * float(n)), F.lit(0)), F.lit(n - 1)).cast("long")
+        step = (high - low) / float(n)
+        k = F.floor((v - low) / (high - low) * float(n))
+        k = k - F.when(v < low + k * step, 1).otherwise(0) + F.when(v >= low + (k + 1) * step, 1).otherwise(0)
+        return F.least(F.greatest(k, F.lit(0)), F.lit(n - 1)).cast("long")
 
     full = F.lit((1 << depth) - 1)
     return spread(place(x, root[0], root[2])).bitwiseOR(F.shiftleft(spread(full - place(y, root[1], root[3])), 1))

@@ -7,16 +7,41 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import boxes
 
-#: Side of a bin of the finest grid, in degrees.
-BIN = 3.0
-#: Rows of a table of cells or stripes that may be broadcast.
+#: Rows of a table of cells or stripes that may be broadcast (under 100 bytes each).
 BROADCAST_ROWS = 100_000
+#: Grids, each twice as coarse as the one before, and the bins' sides that a box may extend over (it meets one bin more at
+#: most); a box beyond those of the last grid meets more.
+GRIDS, SIDES = 24, 2.0
 
 
-def level(b: list[Column], size: float) -> Column:
-    """The grid, each twice as coarse as the one before, on which a box meets two bins of an axis at most."""
+def small(rows: DataFrame) -> DataFrame:
+    """The table, broadcast if it is small, for a join that works either way."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
+def bin_size(*layers: DataFrame) -> tuple[float, list[int]]:
+    """The side of the finest grid's bins, and the grids that the boxes need. One pass over the boxes.
+
+    The side is the median extent, or that which gives each box a bin of its own if they were spread evenly, if that is
+    larger (points have no extent)."""
+    b = [F.col(c) for c in ("min_x", "min_y", "max_x", "max_y")]
+    rows = layers[0].select(*b)
+    for other in layers[1:]:
+        rows = rows.unionByName(other.select(*b))
     extent = F.greatest(b[2] - b[0], b[3] - b[1])
-    return F.when(extent <= size, 0).otherwise(F.ceil(F.log2(extent / size))).cast("int")
+    r = rows.agg(F.count("*").alias("n"), F.percentile_approx(extent, 0.5, 200).alias("median"), F.max(extent).alias("most"),
+                 ((F.max(b[2]) - F.min(b[0])) * (F.max(b[3]) - F.min(b[1]))).alias("area")).first()
+    size = max(r["median"] or 0.0, ((r["area"] or 0.0) / max(1, r["n"])) ** 0.5) or 1.0
+    last = 0
+    while last < GRIDS - 1 and SIDES * size * 2**last < (r["most"] or 0.0):
+        last += 1
+    return size, list(range(last + 1))
+
+
+def level(b: list[Column], size: float) -> Column:
+    """The finest grid of whose bins' sides a box extends over SIDES at most."""
+    extent = F.greatest(b[2] - b[0], b[3] - b[1]) / SIDES
+    return F.when(extent <= size, 0).otherwise(F.least(F.ceil(F.log2(extent / size)), F.lit(GRIDS - 1))).cast("int")
 
 
 def binned(rows: DataFrame, levels: list[int], size: float) -> DataFrame:
@@ -28,15 +53,13 @@ def binned(rows: DataFrame, levels: list[int], size: float) -> DataFrame:
     return rows.withColumn("gx", bins(b[0], b[2], -180.0, step)).withColumn("gy", bins(b[1], b[3], -90.0, step))
 
 
-def overlap_join(r: DataFrame, s: DataFrame, size: float = BIN, keys: tuple[str, ...] = ()) -> DataFrame:
+def overlap_join(r: DataFrame, s: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """All pairs of r and s (id, box, weight; and `keys`, equal in both) whose boxes intersect, each once.
 
-    Rows r_*, s_*. A pair is looked for on the coarser grid of its two boxes, so no box meets more than four bins there,
-    and is kept in the bin that holds the lower left corner of its intersection. Dense bins are split by adaptive
+    Rows r_*, s_*. A pair is looked for on the coarser grid of its two boxes, so no box meets more than SIDES + 1 bins of an
+    axis there, and is kept in the bin that holds the lower left corner of its intersection. Dense bins are split by adaptive
     execution's skew join."""
-    b = [F.col(c) for c in ("min_x", "min_y", "max_x", "max_y")]
-    found = r.select(level(b, size).alias("l")).union(s.select(level(b, size).alias("l"))).distinct().collect()  # a number for each doubling of size
-    levels = sorted(x["l"] for x in found if x["l"] is not None) or [0]
+    size, levels = bin_size(r, s)
     left, right = (binned(t, levels, size).select(*[F.col(c).alias(f"{p}_{c}") for c in t.columns], F.col("own_level").alias(f"{p}_level"), F.col("grid").alias(f"{p}_grid"), F.col("gx").alias(f"{p}_gx"), F.col("gy").alias(f"{p}_gy")) for t, p in ((r, "r"), (s, "s")))
     a = [F.col(f"r_{c}") for c in ("min_x", "min_y", "max_x", "max_y")]
     c = [F.col(f"s_{c}") for c in ("min_x", "min_y", "max_x", "max_y")]
@@ -49,9 +72,11 @@ def overlap_join(r: DataFrame, s: DataFrame, size: float = BIN, keys: tuple[str,
     return pairs.drop("r_level", "s_level", "r_grid", "s_grid", "r_gx", "r_gy", "s_gx", "s_gy")
 
 
-def candidates(r: DataFrame, s: DataFrame, product: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, r_id, s_id, x, y, w: the centre of each pair's intersection and its cost (product: of vertex counts)."""
+def candidates(r: DataFrame, s: DataFrame, product: bool = False, keys: tuple[str, ...] = (), only: Column | None = None) -> DataFrame:
+    """keys, r_id, s_id, x, y, w: the centre of each pair's intersection and its cost (product: of vertex counts). only: a
+    condition on the pairs' r_ and s_ columns."""
     pairs = overlap_join(r, s, keys=keys)
+    pairs = pairs if only is None else pairs.where(only)
     a, c = ([F.col(f"{p}_{n}") for n in ("min_x", "min_y", "max_x", "max_y")] for p in "rs")
     i = boxes.intersection(a, c)
     w = F.col("r_weight") * F.col("s_weight") if product else boxes.pair_weight(F.col("r_weight"), F.col("s_weight"))
@@ -59,8 +84,6 @@ def candidates(r: DataFrame, s: DataFrame, product: bool = False, keys: tuple[st
 
 
 def assign(cells: DataFrame, rows: DataFrame) -> DataFrame:
-    """cell_id, id: each box goes to every cell that it touches."""
+    """cell_id, and the columns of rows (id, box, weight and others): each box goes to every cell that it touches."""
     cells = cells.select(F.col("cell_id").alias("id"), "min_x", "min_y", "max_x", "max_y", F.lit(0).cast("long").alias("weight"))
-    return overlap_join(cells, rows.select("id", "min_x", "min_y", "max_x", "max_y", "weight")).select(F.col("r_id").alias("cell_id"), F.col("s_id").alias("id"), F.col("s_weight").alias("weight"))
-
-
+    return overlap_join(cells, rows).select(F.col("r_id").alias("cell_id"), *[F.col(f"s_{c}").alias(c) for c in rows.columns])

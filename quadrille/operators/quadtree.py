@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions import boxes
+from quadrille.operators import join
 
 # Fixed values of the partitioner: cost factor of a leaf, points below which a node stops, depth.
 COEF, MIN_N, DEPTH = 3, 100, boxes.DEPTH
@@ -35,7 +36,8 @@ def leaves(points: DataFrame, trees: DataFrame, keys: tuple[str, ...] = (), coef
     points: keys, x, y, w. trees: keys, target (leaves wanted) and root box root_min_x ... of each tree, one row for
     each. A node stops at the last depth, at a weight of coef * (W div target) or less, or with min_n points or fewer.
     The first depth with at least `target` leaves above it turns all its live nodes into leaves. The first pass
-    aggregates to SHALLOW levels; only points in nodes that are live there are refined."""
+    aggregates to SHALLOW levels; only points in nodes that are live there are refined. The points are kept for the second pass, until
+    the leaves are known."""
     keys, spark = list(keys), points.sparkSession
     corners = ["root_min_x", "root_min_y", "root_max_x", "root_max_y"]
     root = [F.col(c) for c in corners]
@@ -45,11 +47,10 @@ def leaves(points: DataFrame, trees: DataFrame, keys: tuple[str, ...] = (), coef
     def by_tree(rows: DataFrame, small: DataFrame) -> DataFrame:
         return rows.join(F.broadcast(small), keys) if keys else rows.crossJoin(F.broadcast(small))
 
-    dealt = by_tree(points, own).withColumn("path", boxes.tree_path(F.col("x"), F.col("y"), root)).select(*keys, "path", "w")
-    fine = dealt.groupBy(*keys, "path").agg(F.sum("w").alias("w"), F.count("*").alias("n")).persist()
+    dealt = by_tree(points, own).withColumn("path", boxes.tree_path(F.col("x"), F.col("y"), root)).select(*keys, "path", "w").persist()
     top = min(SHALLOW, depth)
-    shallow = fine.withColumn("cell", F.shiftright("path", 2 * (DEPTH - top))).groupBy(*keys, "cell").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
-    whole = fine.groupBy(*keys).agg(F.sum("w").alias("all"))
+    shallow = dealt.groupBy(*keys, F.shiftright("path", 2 * (DEPTH - top)).alias("cell")).agg(F.sum("w").alias("w"), F.count("*").alias("n")).persist()
+    whole = shallow.groupBy(*keys).agg(F.sum("w").alias("all"))
     limits = own.join(whole, keys) if keys else own.crossJoin(whole)
     limits = limits.select(*keys, "target", *corners, F.expr(f"(all div target) * {coef}").alias("least"))
     limits = spark.createDataFrame(limits.collect(), limits.schema)  # one row for each tree
@@ -58,11 +59,13 @@ def leaves(points: DataFrame, trees: DataFrame, keys: tuple[str, ...] = (), coef
         rows = by_tree(rows, limits.select(*keys, "least", "target"))
         return rows.withColumn("stop", (F.col("depth") >= depth) | (F.col("w") <= F.col("least")) | (F.col("n") <= min_n)).drop("least")
 
-    nodes = stopped(levels(shallow, keys, "cell", top, 0, top)).persist()  # at most 4 ** SHALLOW * 4 / 3 a tree
+    nodes = nodes_above = stopped(levels(shallow, keys, "cell", top, 0, top)).persist()  # at most 4 ** SHALLOW * 4 / 3 a tree
     if depth > top:
+        # a live node weighs more than coef * (W div target), so there are fewer than target / coef + 1 (min_n, if coef is 0) of a depth
         live = nodes.where(f"depth = {top} and not stop").select(*keys, F.col("path").alias("cell"))
-        deep = fine.withColumn("cell", F.shiftright("path", 2 * (DEPTH - top))).join(F.broadcast(live), [*keys, "cell"], "left_semi")
-        nodes = nodes.union(stopped(levels(deep.withColumnRenamed("path", "whole"), keys, "whole", DEPTH, top + 1, depth)))
+        deep = dealt.withColumn("cell", F.shiftright("path", 2 * (DEPTH - top))).join(join.small(live), [*keys, "cell"], "left_semi")
+        deep = deep.groupBy(*keys, F.col("path").alias("whole")).agg(F.sum("w").alias("w"), F.count("*").alias("n"))
+        nodes = nodes.union(stopped(levels(deep, keys, "whole", DEPTH, top + 1, depth)))
     above = nodes.where("not stop").select(*keys, (F.col("depth") + 1).alias("depth"), F.col("path").alias("over"))
     below = nodes.where("depth > 0").withColumn("over", F.shiftright("path", 2)).join(above, [*keys, "depth", "over"], "left_semi").drop("over")
     alive = nodes.where("depth = 0").unionByName(below).persist()
@@ -78,51 +81,75 @@ def leaves(points: DataFrame, trees: DataFrame, keys: tuple[str, ...] = (), coef
     found = capped.where("w <> 0").where("(stop and (cap is null or depth <= cap)) or (cap is not null and depth = cap)")
     found = by_tree(found.select(*keys, "depth", "path", "w", "n"), own)
     b = boxes.node_box(F.col("depth"), F.col("path"), root)
-    return found.select(*keys, "depth", "path", *[e.alias(n) for e, n in zip(b, ("min_x", "min_y", "max_x", "max_y"), strict=True)], "w", "n")
+    found = found.select(*keys, "depth", "path", *[e.alias(n) for e, n in zip(b, ("min_x", "min_y", "max_x", "max_y"), strict=True)], "w", "n")
+    if not coef:  # leaves aren't bounded by the target
+        return found
+    out = spark.createDataFrame(found.collect(), found.schema)  # at most some times the trees' targets (see above)
+    for t in (alive, nodes_above, shallow, dealt):
+        t.unpersist()
+    return out
 
 
 def one_tree(spark, target: int, root: tuple[float, float, float, float] = boxes.WORLD) -> DataFrame:
     return spark.createDataFrame([(target, *root)], "target long, root_min_x double, root_min_y double, root_max_x double, root_max_y double")
 
 
-def closed_cells(rows: DataFrame, depth: int, weight: Column) -> dict[tuple[int, int, int], int]:
-    """Weights of the world's cells down to `depth` (at most 4 ** depth + ... cells); a box counts in each it touches."""
-    parts = []
-    for d in range(depth + 1):
-        n, (x0, y0, x1, y1) = 1 << d, boxes.WORLD
-        wide, high = (x1 - x0) / n, (y1 - y0) / n
+def closed_cells(rows: DataFrame, first: int, last: int, weight: Column, over: tuple[int, int, int] = (0, 0, 0)) -> dict[tuple[int, int, int], int]:
+    """Weights of the world's cells of depths first to last under the cell `over` (at most 4 ** (last - over's depth + 1)
+    of them); a box counts in each cell that it touches. One pass: each box is dealt to its cells of every depth."""
+    top, ox, oy = over
+    n = F.pow(F.lit(2.0), F.col("d"))
+    x0, y0, x1, y1 = boxes.WORLD
+    wide, high = (x1 - x0) / n, (y1 - y0) / n
+
+    def touched(low: str, up: str, start: float, step: Column, at: int) -> Column:
+        count = F.pow(F.lit(2.0), F.col("d") - top).cast("long")
+        begin = F.lit(at) * count
+        a = F.greatest(F.ceil((F.col(low) - start) / step).cast("long") - 1, begin)
+        b = F.least(F.floor((F.col(up) - start) / step).cast("long"), begin + count - 1)
+        return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<long>"))
 
-        def touched(low: str, high_: str, start: float, step: float, n: int = n) -> Column:
-            first = F.greatest(F.ceil((F.col(low) - start) / step).cast("int") - 1, F.lit(0))
-            last = F.least(F.floor((F.col(high_) - start) / step).cast("int"), F.lit(n - 1))
-            return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    dealt = rows.withColumn("d", F.explode(F.sequence(F.lit(first), F.lit(last))))
+    cell = dealt.withColumn("ix", F.explode(touched("min_x", "max_x", x0, wide, ox))).withColumn("iy", F.explode(touched("min_y", "max_y", y0, high, oy)))
+    return {(r["d"], r["ix"], r["iy"]): r["w"] for r in cell.groupBy("d", "ix", "iy").agg(F.sum(weight).alias("w")).collect()}
 
-        cell = rows.withColumn("ix", F.explode(touched("min_x", "max_x", x0, wide))).withColumn("iy", F.explode(touched("min_y", "max_y", y0, high)))
-        parts.append(cell.groupBy(F.lit(d).alias("d"), "ix", "iy").agg(F.sum(weight).alias("w")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return {(r["d"], r["ix"], r["iy"]): r["w"] for r in out.collect()}
 
+#: Depths that are counted at a time, and the depth below which a cell is not split: its sides are at the limit of doubles
+#: there, and without it boxes in one point would be split for ever.
+AT_ONCE, DEEPEST = 4, 48
 
-def best_first(cells: dict[tuple[int, int, int], int], target: int, depth: int, first: int, count_rows: int | None = None) -> list[tuple]:
+
+def best_first(rows: DataFrame, weight: Column, target: int, first: int, count_rows: int | None = None) -> list[tuple]:
     """(min_x, min_y, max_x, max_y, weight): the heaviest cell, the oldest of equals, is split until there are `target`.
 
-    Children come in the order BL, TL, BR, TR; those of weight 0 are dropped. count_rows: counts less than
-    count_rows // cells so far are taken as 1. Cells of the last depth aren't split."""
-    def weight(cell: tuple[int, int, int], now: int) -> int:
-        w = cells.get(cell, 0)
-        return 1 if count_rows is not None and w < count_rows // now else w
+    rows: boxes; a cell weighs the sum of `weight` over the boxes it touches, so one on a shared edge counts in both. Children
+    come in the order BL, TL, BR, TR; those of weight 0 are dropped. count_rows: a cell that weighs less than count_rows // target
+    is taken as 1. Weights are counted for AT_ONCE depths below the cell that is split where they aren't known yet, so a
+    hot spot is split as deep as it takes."""
+    known, counted = closed_cells(rows, 1, AT_ONCE, weight), {(0, 0, 0)}
+
+    def under(cell: tuple[int, int, int]) -> tuple[int, int, int]:
+        d, ix, iy = cell
+        up = d % AT_ONCE
+        return d - up, ix >> up, iy >> up
 
     heap, done, seq = [(-first, 0, (0, 0, 0))], [], 0
     while heap and len(heap) + len(done) < target:
-        w, at, (d, ix, iy) = heapq.heappop(heap)
-        if d >= depth:
-            done.append((-w, at, (d, ix, iy)))
+        w, at, cell = heapq.heappop(heap)
+        d, ix, iy = cell
+        if d >= DEEPEST:
+            done.append((-w, at, cell))
             continue
+        base = under(cell)
+        if base not in counted:
+            counted.add(base)
+            known.update(closed_cells(rows, base[0] + 1, base[0] + AT_ONCE, weight, base))
         for dx, dy in ((0, 0), (0, 1), (1, 0), (1, 1)):
             child = (d + 1, 2 * ix + dx, 2 * iy + dy)
-            if own := weight(child, target):
+            own = known.get(child, 0)
+            if count_rows is not None and own < count_rows // target:
+                own = 1
+            if own:
                 seq += 1
                 heapq.heappush(heap, (-own, seq, child))
     out = []
@@ -131,3 +158,13 @@ def best_first(cells: dict[tuple[int, int, int], int], target: int, depth: int,
         wide, high = (x1 - x0) / (1 << d), (y1 - y0) / (1 << d)
         out.append((x0 + ix * wide, y0 + iy * high, x0 + (ix + 1) * wide, y0 + (iy + 1) * high, w))
     return out
+
+
+def saturated(weight: str) -> Column:
+    """The sum of a LONG column, the largest LONG where it is beyond that."""
+    return F.least(F.sum(F.col(weight).cast("decimal(38,0)")), F.lit((1 << 63) - 1).cast("decimal(38,0)")).cast("long")
+
+
+def by_weight(cells: DataFrame) -> DataFrame:
+    """The cells in order of their weight, the heaviest last; ties in order of depth and path."""
+    return cells.orderBy("w", "depth", "path")

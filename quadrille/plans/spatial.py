@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from quadrille.functions import boxes
 from quadrille.operators import join, order, quadtree, sinks, stripes
+from quadrille.shared import new_path
 from quadrille.sources import layers
+from quadrille.streaming import tagging
 
-#: Leaves wanted, stripes, slices, levels of the level report, cells and depth of the best-first trees.
-TARGET, STRIPES, SLICES, LEVELS, CELLS, CELL_DEPTH = 64, 4, 3, 6, 24, 6
+#: Leaves wanted, stripes, slices, levels of the level report, cells of the best-first trees, files of boxes.
+TARGET, STRIPES, SLICES, LEVELS, CELLS, FILES = 64, 4, 3, 6, 24, 4
 BOX = ("min_x", "min_y", "max_x", "max_y")
 
 
@@ -40,7 +42,7 @@ def sorted_blocks(spark, d):
 
 def block_pairs(spark, d):
     r, s = (order.blocks(x).select(F.col("block").alias("id"), *BOX, F.lit(0).cast("long").alias("weight")) for x in both(spark, d))
-    return join.overlap_join(r, s, size=30.0).select(F.col("r_id").alias("r_block"), F.col("s_id").alias("s_block"))
+    return join.overlap_join(r, s).select(F.col("r_id").alias("r_block"), F.col("s_id").alias("s_block"))
 
 
 def mbr_intersect_pairs(spark, d):
@@ -80,9 +82,67 @@ def cell_assignment(name: str):
 
 
 def cell_counts(spark, d):
-    c, (r, s) = cells(spark, d), both(spark, d)
-    rows = join.assign(c, r).withColumn("layer", F.lit("r")).union(join.assign(c, s).withColumn("layer", F.lit("s")))
-    return rows.groupBy("cell_id", "layer").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+    r, s = both(spark, d)
+    rows = r.withColumn("layer", F.lit("r")).unionByName(s.withColumn("layer", F.lit("s")))
+    return join.assign(cells(spark, d), rows).groupBy("cell_id", "layer").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+
+
+def cells_by_weight(spark, d):
+    return order.ranked(cells(spark, d), "w", "cell_id").select("rank", "depth", "path", "w")
+
+
+def half_open_cells(spark, d):
+    """Candidate points by the half-open test: each in one cell."""
+    return tagging.tag(found(spark, d).select("x", "y", "w"), cells(spark, d)).groupBy("cell_id").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+
+
+def saturating_sum(spark, d):
+    big = layers.layer(spark, d, "r").select((F.col("id") % 5).alias("bucket"), (F.col("weight") * F.pow(F.lit(2.0), 40 + F.col("id") % 5 * 4).cast("long")).alias("w"))
+    return big.groupBy("bucket").agg(quadtree.saturated("w").alias("w"))
+
+
+def partition_files(spark, d):
+    """Both layers written, a folder for each cell, and read back."""
+    c, out = cells(spark, d), None
+    for name in "rs":
+        path = new_path(spark, f"cells-{name}")
+        rows = layers.layer(spark, d, name)
+        wkt = boxes.polygon([F.col(x) for x in BOX])
+        sinks.write_partitions(c, join.assign(c, rows).select("cell_id", wkt.alias("wkt")), path)
+        line = F.col("value").startswith("POLYGON")
+        got = spark.read.schema("value string, cell_id long").text(path).groupBy("cell_id").agg(F.count_if(line).alias("n"), F.max(F.when(~line, F.col("value"))).alias("head"))
+        got = got.withColumn("layer", F.lit(name))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def env_files(spark, d):
+    """Box files with a header each, written and read back by byte ranges: rows, and headers counted."""
+    rows = layers.layer(spark, d, "r").withColumn("cell_id", F.col("id") % FILES)
+    heads = stripes.global_box(rows).crossJoin(spark.range(FILES).select(F.col("id").alias("cell_id")))
+    path = new_path(spark, "envs")
+    sinks.write_partitions(heads, rows.select("cell_id", F.concat_ws(" ", "min_x", "max_x", "min_y", "max_y", "weight").alias("wkt")), path)
+    head, got = layers.read_env(spark, f"{path}/*")
+    told = head.agg(F.count("*").alias("headers"), *[F.min(c).alias(f"head_{c}") for c in BOX])
+    return got.agg(F.count("*").alias("n"), F.sum("min_x").alias("sum_x"), F.sum("max_y").alias("sum_y"), F.sum("weight").alias("weight")).crossJoin(told)
+
+
+def geometry_file(spark, d):
+    """The five lines of the arrays of each bucket."""
+    r = layers.layer(spark, d, "r")
+    lines = r.select(F.col("id").alias("geom_id"), F.format_string("LINESTRING (%.6f %.6f, %.6f %.6f)", "min_x", "min_y", "max_x", "max_y").alias("value"))
+    rows = layers.geometries(lines).withColumn("bucket", F.col("geom_id") % 16)
+    heads = spark.range(16).select(F.col("id").alias("bucket"), *[b.alias(n) for b, n in zip(boxes.world(), BOX, strict=True)])
+    return sinks.array_lines(layers.geometry_arrays(rows, ["bucket"]), heads, "bucket")
+
+
+def wkt_members(spark, d):
+    """Collections that hold a MULTIPOLYGON, a point of three dimensions and a MULTIPOINT."""
+    p = F.format_string("((%.6f %.6f, %.6f %.6f, %.6f %.6f, %.6f %.6f))", "min_x", "min_y", "min_x", "max_y", "max_x", "max_y", "min_x", "min_y")
+    dots = F.format_string("POINT Z (%.6f %.6f 7), MULTIPOINT ((%.6f %.6f), (%.6f %.6f))", "min_x", "min_y", "min_x", "min_y", "max_x", "max_y")
+    value = F.concat(F.lit("GEOMETRYCOLLECTION (MULTIPOLYGON ("), p, F.lit(", "), p, F.lit("), "), dots, F.lit(")"))
+    r = layers.layer(spark, d, "r").select(F.col("id").alias("geom_id"), value.alias("value"))
+    return layers.geometries(r).select("geom_id", "part", "n_points", *BOX)
 
 
 def parts(spark, d):
@@ -142,20 +202,19 @@ CELL_SCHEMA = "min_x double, min_y double, max_x double, max_y double, weight lo
 
 def bestfirst_count(spark, d):
     rows = layers.layer(spark, d, "r")
-    made = quadtree.closed_cells(rows, CELL_DEPTH, F.lit(1))
     n = rows.count()
-    return spark.createDataFrame(quadtree.best_first(made, CELLS, CELL_DEPTH, n, n), CELL_SCHEMA)
+    return spark.createDataFrame(quadtree.best_first(rows, F.lit(1), CELLS, n, n), CELL_SCHEMA)
 
 
 def bestfirst_points(spark, d):
-    rows = found(spark, d).select(F.col("x").alias("min_x"), F.col("y").alias("min_y"), F.col("x").alias("max_x"), F.col("y").alias("max_y"), "w")
-    made = quadtree.closed_cells(rows, CELL_DEPTH, F.col("w"))
-    return spark.createDataFrame(quadtree.best_first(made, CELLS, CELL_DEPTH, (1 << 63) - 1), CELL_SCHEMA)
+    rows = found(spark, d).select(F.col("x").alias("min_x"), F.col("y").alias("min_y"), F.col("x").alias("max_x"), F.col("y").alias("max_y"), "w").persist()
+    out = spark.createDataFrame(quadtree.best_first(rows, F.col("w"), CELLS, (1 << 63) - 1), CELL_SCHEMA)
+    rows.unpersist()
+    return out
 
 
 def bestfirst_envs(spark, d):
-    made = quadtree.closed_cells(layers.layer(spark, d, "r"), CELL_DEPTH, F.col("weight"))
-    return spark.createDataFrame(quadtree.best_first(made, CELLS, CELL_DEPTH, (1 << 63) - 1), CELL_SCHEMA)
+    return spark.createDataFrame(quadtree.best_first(layers.layer(spark, d, "r"), F.col("weight"), CELLS, (1 << 63) - 1), CELL_SCHEMA)
 
 
 def grid_wkt(spark, d):
@@ -206,6 +265,8 @@ QUERIES = {
     "striped_leaves": striped_leaves, "gpu_slices": gpu_slices, "sliced_leaves": sliced_leaves, "chunks_by_max_x": chunks_by_max_x, "morton_order": morton_order,
     "bestfirst_count": bestfirst_count, "bestfirst_points": bestfirst_points, "bestfirst_envs": bestfirst_envs, "grid_wkt": grid_wkt,
     "env_text_roundtrip": env_text_roundtrip, "wkt_explode": wkt_explode, "wkt_envelope": wkt_envelope, "geometry_csr": geometry_csr, "envelope_soa": envelope_soa,
+    "cells_by_weight": cells_by_weight, "half_open_cells": half_open_cells, "saturating_sum": saturating_sum, "partition_files": partition_files,
+    "env_files": env_files, "geometry_file": geometry_file, "wkt_members": wkt_members,
 }
 
 R, S = (q.replace("{orders}", "orders").replace("{events}", "events") for q in (layers.R_SQL, layers.S_SQL))
@@ -220,13 +281,38 @@ GLOBAL = "SELECT least(180e0,min(min_x)) AS min_x, least(90e0,min(min_y)) AS min
 
 
 def path_sql(x: str, y: str, x0: str, y0: str, x1: str, y1: str) -> str:
-    """The path by the definition: a bit of each axis for each level."""
+    """The path by a formula: a bit of each axis for each level."""
     kx = f"least(greatest(CAST(floor(({x}-{x0})/({x1}-{x0})*131072e0) AS BIGINT),0),131071)"
     ky = f"least(greatest(CAST(floor(({y}-{y0})/({y1}-{y0})*131072e0) AS BIGINT),0),131071)"
     bits = " + ".join(f"(((({kx})>>{i})&1) + 2*(1-((({ky})>>{i})&1)))*{4**i}" for i in range(17))
     return f"CAST({bits} AS BIGINT)"
 
 
+def halved_sql(points: str) -> str:
+    """k, path, w by the definition: 17 times the centre of the node decides. points: k, x, y, w and the root x0, y0, x1, y1."""
+    out = f"SELECT k, x, y, w, 0::BIGINT AS path, x0, y0, x1, y1 FROM ({points}) p0"
+    for i in range(1, 18):
+        cx, cy = "(x0+x1)*0.5e0", "(y0+y1)*0.5e0"
+        out = (f"SELECT k, x, y, w, path*4 + CASE WHEN x>={cx} THEN 1 ELSE 0 END + CASE WHEN y<{cy} THEN 2 ELSE 0 END AS path, CASE WHEN x>={cx} THEN {cx} ELSE x0 END AS x0, "
+               f"CASE WHEN y>={cy} THEN {cy} ELSE y0 END AS y0, CASE WHEN x>={cx} THEN x1 ELSE {cx} END AS x1, CASE WHEN y>={cy} THEN y1 ELSE {cy} END AS y1 FROM ({out}) p{i}")
+    return f"SELECT k, path, w FROM ({out}) p"
+
+
+def best_first_sql(rows: str, first: str, floor: str = "0") -> str:
+    """bf(step, seq, box, w): each step splits the heaviest cell, the oldest of equals; rows: box and wt."""
+    child = [f"CASE WHEN c.k IN ({ks}) THEN {a} ELSE {b} END" for ks, a, b in (("0,1", "q.x0", "q.x0+(q.x1-q.x0)/2"), ("0,2", "q.y0", "q.y0+(q.y1-q.y0)/2"), ("0,1", "q.x0+(q.x1-q.x0)/2", "q.x1"), ("0,2", "q.y0+(q.y1-q.y0)/2", "q.y1"))]
+    x0, y0, x1, y1 = child
+    return f""", bx AS MATERIALIZED ({rows}), bf AS (
+    SELECT 0 AS step, 0 AS seq, -180e0 AS x0, -90e0 AS y0, 180e0 AS x1, 90e0 AS y1, {first} AS w
+    UNION ALL SELECT * FROM (
+      SELECT step+1 AS step, CASE WHEN rn=1 THEN 4*(step+1)+k ELSE seq END AS seq, x0, y0, x1, y1,
+        CASE WHEN rn>1 THEN w ELSE (SELECT CASE WHEN coalesce(sum(wt),0) < {floor} THEN 1 ELSE coalesce(sum(wt),0) END::HUGEINT FROM bx b WHERE b.min_x<=z.x1 AND b.max_x>=z.x0 AND b.min_y<=z.y1 AND b.max_y>=z.y0) END AS w
+      FROM (SELECT q.step, q.seq, q.rn, q.w, c.k, CASE WHEN q.rn>1 THEN q.x0 ELSE {x0} END AS x0, CASE WHEN q.rn>1 THEN q.y0 ELSE {y0} END AS y0,
+          CASE WHEN q.rn>1 THEN q.x1 ELSE {x1} END AS x1, CASE WHEN q.rn>1 THEN q.y1 ELSE {y1} END AS y1
+        FROM (SELECT *, row_number() OVER (ORDER BY w DESC, seq) AS rn, count(*) OVER () AS n FROM bf) q JOIN (SELECT unnest(range(0,4)) AS k) c ON q.rn=1 OR c.k=0 WHERE q.n<{CELLS}) z) y WHERE w<>0)
+  SELECT x0 AS min_x, y0 AS min_y, x1 AS max_x, y1 AS max_y, w::BIGINT AS weight FROM bf WHERE step=(SELECT max(step) FROM bf)"""
+
+
 def tree_sql(key: str, points: str, trees: str) -> str:
     """leaves(k, depth, path, w, n); points: k, path, w; trees: k, target."""
     return f""", pts AS MATERIALIZED ({points}), trees AS ({trees}),
@@ -283,7 +369,7 @@ ORACLES = {
     "stripe_counts": f"{WITH}{STRIPE} SELECT stripe, count(*) AS n FROM rs GROUP BY stripe",
     "stripe_budget": f"{WITH}{STRIPED} SELECT * FROM bud",
     "striped_dedupe": f"{WITH}{STRIPED} SELECT stripe, count(*) AS n, CAST(sum(w) AS BIGINT) AS w FROM (SELECT r_id, s_id, min(stripe) AS stripe, min(w) AS w FROM sc GROUP BY 1, 2) q GROUP BY stripe",
-    "striped_leaves": f"{WITH}{STRIPED}" + tree_sql("stripe", f"SELECT sc.stripe AS k, {path_sql('x', 'y', 't.min_x', 't.min_y', 't.max_x', 't.max_y')} AS path, w FROM sc JOIN stripes t ON t.stripe=sc.stripe", "SELECT stripe AS k, budget AS target FROM bud") + " SELECT stripe, CAST(depth AS INTEGER) AS depth, path, w, n FROM leaves",
+    "striped_leaves": f"{WITH}{STRIPED}" + tree_sql("stripe", halved_sql("SELECT sc.stripe AS k, x, y, w, t.min_x AS x0, t.min_y AS y0, t.max_x AS x1, t.max_y AS y1 FROM sc JOIN stripes t ON t.stripe=sc.stripe"), "SELECT stripe AS k, budget AS target FROM bud") + " SELECT stripe, CAST(depth AS INTEGER) AS depth, path, w, n FROM leaves",
     "gpu_slices": f"{WITH}{SLICE} SELECT slice, count(*) AS n, CAST(sum(w) AS BIGINT) AS w FROM cs GROUP BY slice",
     "sliced_leaves": f"{WITH}{SLICE}" + tree_sql("slice", f"SELECT slice AS k, {path_sql('x', 'y', *WORLD)} AS path, w FROM cs", f"SELECT slice AS k, {TARGET} AS target FROM (SELECT DISTINCT slice FROM cs) q") + " SELECT slice, CAST(depth AS INTEGER) AS depth, path, w, n FROM leaves",
     "chunks_by_max_x": f"{WITH} SELECT id, ntile(5) OVER (ORDER BY max_x, id)-1 AS chunk FROM r",
@@ -295,4 +381,14 @@ ORACLES = {
     "wkt_envelope": f"{WITH} SELECT geom_id, CAST(part AS INTEGER) AS part, min_x+CASE WHEN id%3=1 THEN part ELSE 0 END AS min_x, min_y, max_x+CASE WHEN id%3=1 THEN part ELSE 0 END AS max_x, max_y FROM {PARTS}",
     "geometry_csr": f"{WITH} SELECT geom_id%16 AS bucket, CAST(sum(CASE WHEN id%3=2 THEN 2 ELSE 4 END) AS BIGINT) AS points, count(*) AS parts, CAST(sum(CASE WHEN id%3=2 THEN 2 ELSE 4 END) AS BIGINT) AS total, sum(CASE WHEN id%3=2 THEN min_x+max_x ELSE 3*min_x+max_x+4*(CASE WHEN id%3=1 THEN part ELSE 0 END) END) AS sum_x FROM {PARTS} GROUP BY 1",
     "envelope_soa": f"{WITH} SELECT id%16 AS bucket, count(*) AS n, arg_min(min_x, id) AS first_x, CAST(arg_max(weight, id) AS DOUBLE) AS last_weight FROM r GROUP BY 1",
+    "bestfirst_count": f"{WITH}" + best_first_sql("SELECT min_x, min_y, max_x, max_y, 1 AS wt FROM r", "(SELECT count(*) FROM r)::HUGEINT", f"(SELECT count(*)//{CELLS} FROM r)"),
+    "bestfirst_points": f"{WITH}{CAND}" + best_first_sql("SELECT x AS min_x, y AS min_y, x AS max_x, y AS max_y, w AS wt FROM cand", "9223372036854775807::HUGEINT"),
+    "bestfirst_envs": f"{WITH}" + best_first_sql("SELECT min_x, min_y, max_x, max_y, weight AS wt FROM r", "9223372036854775807::HUGEINT"),
+    "cells_by_weight": f"{WITH}{CELLS_SQL} SELECT row_number() OVER (ORDER BY w, cell_id)-1 AS rank, CAST(depth AS INTEGER) AS depth, path, w FROM cells",
+    "half_open_cells": f"{WITH}{CELLS_SQL} SELECT c.cell_id, count(*) AS n, CAST(sum(p.w) AS BIGINT) AS w FROM cells c JOIN cand p ON p.x>=c.min_x AND p.x<c.max_x AND p.y>=c.min_y AND p.y<c.max_y GROUP BY 1",
+    "saturating_sum": f"{WITH} SELECT id%5 AS bucket, CAST(least(sum(CAST(weight AS HUGEINT)*(CAST(1 AS HUGEINT) << CAST(40+id%5*4 AS INTEGER))), 9223372036854775807) AS BIGINT) AS w FROM r GROUP BY 1",
+    "partition_files": f"{WITH}{CELLS_SQL} SELECT t.layer, c.cell_id, count(*) AS n, any_value(printf('%.6f %.6f %.6f %.6f', c.min_x, c.max_x, c.min_y, c.max_y)) AS head FROM cells c JOIN (SELECT *, 'r' AS layer FROM r UNION ALL SELECT *, 's' FROM s) t ON {ASSIGN} GROUP BY 1, 2",
+    "env_files": f"{WITH} SELECT count(*) AS n, sum(min_x) AS sum_x, sum(max_y) AS sum_y, CAST(sum(weight) AS BIGINT) AS weight, CAST({FILES} AS BIGINT) AS headers, least(180e0,min(min_x)) AS head_min_x, least(90e0,min(min_y)) AS head_min_y, greatest(-180e0,max(max_x)) AS head_max_x, greatest(-90e0,max(max_y)) AS head_max_y FROM r",
+    "geometry_file": f"{WITH} SELECT id%16 AS bucket, concat_ws(chr(10), string_agg(printf('%.6f %.6f', min_x, max_x), ' ' ORDER BY id), string_agg(printf('%.6f %.6f', min_y, max_y), ' ' ORDER BY id), (SELECT string_agg(CAST(2*v AS VARCHAR), ' ' ORDER BY v) FROM (SELECT unnest(range(0, n+1)) AS v) o), string_agg(printf('%.6f %.6f %.6f %.6f', min_x, max_x, min_y, max_y), ' ' ORDER BY id), printf('%.6f %.6f %.6f %.6f', -180e0, 180e0, -90e0, 90e0)) AS value FROM (SELECT *, count(*) OVER (PARTITION BY id%16) AS n FROM r) q GROUP BY id%16, n",
+    "wkt_members": f"{WITH} SELECT id AS geom_id, CAST(k AS INTEGER) AS part, CAST(CASE k WHEN 0 THEN 8 WHEN 1 THEN 1 ELSE 2 END AS BIGINT) AS n_points, min_x, min_y, CASE WHEN k=1 THEN min_x ELSE max_x END AS max_x, CASE WHEN k=1 THEN min_y ELSE max_y END AS max_y FROM r, (SELECT unnest(range(0,3)) AS k) p",
 }

@@ -6,10 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions import boxes
+from quadrille.operators import join
 
 
 def tag(points: DataFrame, cells: DataFrame) -> DataFrame:
-    """Points (x, y) of a stream or table with cell_id; stateless, against the few static cells."""
-    own = F.broadcast(cells.select("cell_id", *[F.col(c).alias(f"cell_{c}") for c in ("min_x", "min_y", "max_x", "max_y")]))
+    """Points (x, y) of a stream or table with cell_id; stateless, against static cells.
+
+    Up to join.BROADCAST_ROWS cells are broadcast. More must be tree cells of the world box (depth, path) and are joined on
+    their path: each point looks once at each depth that cells have."""
     b = [F.col(f"cell_{c}") for c in ("min_x", "min_y", "max_x", "max_y")]
-    return points.join(own, boxes.inside(F.col("x"), F.col("y"), b)).select(*points.columns, "cell_id")
+    named = [F.col(c).alias(f"cell_{c}") for c in ("min_x", "min_y", "max_x", "max_y")]
+    held = boxes.inside(F.col("x"), F.col("y"), b)
+    if cells.limit(join.BROADCAST_ROWS + 1).count() <= join.BROADCAST_ROWS:
+        return points.join(F.broadcast(cells.select("cell_id", *named)), held).select(*points.columns, "cell_id")
+    depths = sorted(r["depth"] for r in cells.select("depth").distinct().collect())  # boxes.DEPTH + 1 at most
+    whole = boxes.tree_path(F.col("x"), F.col("y"), boxes.world())
+    looking = points.withColumn("__depth", F.explode(F.array(*[F.lit(d) for d in depths]))).withColumn("__path", whole)
+    looking = looking.withColumn("__path", F.expr(f"shiftright(__path, 2 * ({boxes.DEPTH} - __depth))"))
+    own = cells.select("cell_id", F.col("depth").alias("__depth"), F.col("path").alias("__path"), *named)
+    return looking.join(own, ["__depth", "__path"]).where(held).select(*points.columns, "cell_id")

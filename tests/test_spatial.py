@@ -88,28 +88,78 @@ def test_empty_layers(spark):
     assert order.blocks(empty).count() == 0
 
 
+def brute_best_first(rows, target, first, floor=0):
+    """Q2 to Q4 on plain lists: (box, weight) of the cells."""
+    cells, seq = [((-180.0, -90.0, 180.0, 90.0), first, 0)], 0
+    while len(cells) < target:
+        cell = max(cells, key=lambda c: (c[1], -c[2]))
+        cells.remove(cell)
+        x0, y0, x1, y1 = cell[0]
+        cx, cy = x0 + (x1 - x0) / 2, y0 + (y1 - y0) / 2
+        for b in ((x0, y0, cx, cy), (x0, cy, cx, y1), (cx, y0, x1, cy), (cx, cy, x1, y1)):
+            w = sum(r[5] for r in rows if r[1] <= b[2] and r[3] >= b[0] and r[2] <= b[3] and r[4] >= b[1])
+            w = 1 if w < floor else w
+            if w:
+                seq += 1
+                cells.append((b, w, seq))
+    return sorted((c[0], c[1]) for c in cells)
+
+
 def test_best_first(spark):
-    rows = spark.createDataFrame([(i, x, y, x, y, 1) for i, (x, y) in enumerate([(-90.0, -45.0), (-90.0, 45.0), (0.0, 0.0), (90.0, 45.0), (91.0, 46.0)])], LAYER)
     from pyspark.sql import functions as F
 
-    cells = quadtree.closed_cells(rows, 3, F.lit(1))
-    assert cells[0, 0, 0] == 5
-    assert [cells[1, x, y] for x, y in ((0, 0), (0, 1), (1, 0), (1, 1))] == [2, 2, 1, 3]  # (0, 0) lies in all four
-    made = quadtree.best_first(cells, 4, 3, 5)
-    assert sorted(c[4] for c in made) == [1, 2, 2, 3]
-    assert [c[:4] for c in made if c[4] == 3] == [(0.0, 0.0, 180.0, 90.0)]
+    rows = [(i, x, y, x, y, 1) for i, (x, y) in enumerate([(-90.0, -45.0), (-90.0, 45.0), (0.0, 0.0), (90.0, 45.0), (91.0, 46.0)])]
+    rows += [(10 + i, 10 + i / 1024, 10 + i / 4096, 10 + i / 1024 + 1 / 2048, 10 + i / 4096, 1) for i in range(60)]  # a hot spot: deeper than two counts of depths
+    df = spark.createDataFrame(rows, LAYER)
+    for target in (1, 4, 24, 40):
+        made = quadtree.best_first(df, F.lit(1), target, len(rows))
+        assert sorted((c[:4], c[4]) for c in made) == brute_best_first(rows, target, len(rows))
+        made = quadtree.best_first(df, F.lit(1), target, len(rows), len(rows))
+        assert sorted((c[:4], c[4]) for c in made) == brute_best_first(rows, target, len(rows), len(rows) // target)
+    one = spark.createDataFrame([(1, 5.0, 5.0, 5.0, 5.0, 1)] * 3, LAYER)
+    assert [c[4] for c in quadtree.best_first(one, F.lit(1), 4, 3)] == [3]  # a point can't be split for ever
+
+
+def test_ranks_of_values_that_fill_ranges(spark, monkeypatch):
+    monkeypatch.setattr(order, "RANGE_ROWS", 20)
+    rows = [(i, float(i % 3 if i % 2 else 7), 0.0, 1.0, 1.0, i % 4) for i in range(500)]
+    df = spark.createDataFrame(rows, LAYER)
+    got = {r["id"]: r["rank"] for r in order.ranked(df, "min_x").collect()}
+    assert got == {r[0]: k for k, r in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+    got = {r["id"]: r["rank"] for r in order.ranked(df, "min_x", within=("weight",)).collect()}
+    assert got == {r[0]: k for g in range(4) for k, r in enumerate(sorted((r for r in rows if r[5] == g), key=lambda r: (r[1], r[0])))}
 
 
 def test_env_and_wkt(spark, tmp_path):
     lines = ["0 10 0 10", "1 2 3 4 5", "1 2 3", "a b c d e", "1 2 3 4 5 6", "5 1 2 3 4", "12345"]
-    (tmp_path / "env.txt").write_text("\n".join(lines) + "\n")
-    head, rows = layers.read_env(spark, f"file://{tmp_path}/env.txt")
-    assert [tuple(x) for x in head.collect()] == [(0.0, 0.0, 10.0, 10.0)]
-    assert [tuple(x) for x in rows.collect()] == [(1.0, 3.0, 2.0, 4.0, 5)]
+    for i in range(3):  # small files share a partition, each with its header
+        (tmp_path / f"env{i}.txt").write_text("\n".join(lines) + "\n")
+    head, rows = layers.read_env(spark, f"file://{tmp_path}/env*.txt")
+    assert [tuple(x) for x in head.collect()] == [(0.0, 0.0, 10.0, 10.0)] * 3
+    assert sorted(tuple(x) for x in rows.collect()) == [(1.0, 2.0, 5.0, 3.0, 4)] * 3 + [(1.0, 3.0, 2.0, 4.0, 5)] * 3
     texts = ["POINT (1 2)", "POLYGON ((0 0, 0 4, 4 4, 0 0), (1 1, 1 2, 2 2, 1 1))", "MULTIPOLYGON (((0 0, 0 1, 1 1, 0 0)), ((5 5, 5 6, 6 6, 5 5)))",
-             "MULTIPOINT ((1 1), (2 2))", "GEOMETRYCOLLECTION (POINT (1 1), LINESTRING (0 0, 2 2))", "POLYGON ((nonsense))", "x"]
+             "MULTIPOINT ((1 1), (2 2))", "GEOMETRYCOLLECTION (POINT (1 1), LINESTRING (0 0, 2 2))", "POLYGON ((nonsense))", "x", "POINT EMPTY", "POINT Z (1 2 3)", "MULTIPOINT (1 1, 2 2, 3 3)",
+             "GEOMETRYCOLLECTION (MULTIPOLYGON (((0 0, 0 1, 1 1, 0 0)), ((5 5, 5 6, 6 6, 5 5))), GEOMETRYCOLLECTION (POINT (3 3)), POINT EMPTY)", "LINESTRING (" + ", ".join(f"{i} {i}" for i in range(20000)) + ")"]
     got = layers.geometries(spark.createDataFrame(list(enumerate(texts)), "geom_id long, value string")).collect()
-    assert sorted((r["geom_id"], r["part"], r["n_points"]) for r in got) == [(0, 0, 1), (1, 0, 8), (2, 0, 4), (2, 1, 4), (4, 0, 1), (4, 1, 2)]
+    assert sorted((r["geom_id"], r["part"], r["n_points"]) for r in got) == [
+        (0, 0, 1), (1, 0, 8), (2, 0, 4), (2, 1, 4), (3, 0, 2), (4, 0, 1), (4, 1, 2), (8, 0, 1), (9, 0, 3), (10, 0, 8), (10, 1, 1), (11, 0, 20000)]
+
+
+def test_write_arrays(spark, tmp_path):
+    cells = spark.createDataFrame([(1, 0.0, 0.0, 9.0, 9.0)], "cell_id long, min_x double, min_y double, max_x double, max_y double")
+    shapes = layers.geometries(spark.createDataFrame([(1, "POINT (1 2)"), (2, "LINESTRING (3 4, 5 6)")], "geom_id long, value string")).withColumn("cell_id", layers.F.lit(1).cast("long"))
+    sinks.write_arrays(layers.geometry_arrays(shapes, ["cell_id"]), cells, "cell_id", str(tmp_path / "out"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "out/cell_id=1")).collect()] == [
+        "1.000000 3.000000 5.000000", "2.000000 4.000000 6.000000", "0 1 3", "1.000000 1.000000 2.000000 2.000000 3.000000 5.000000 4.000000 6.000000", "0.000000 9.000000 0.000000 9.000000"]
+
+
+def test_tagging_by_path(spark, monkeypatch):
+    monkeypatch.setattr(join, "BROADCAST_ROWS", 2)
+    points = [(float(i * 7 % 360 - 180), float(i * 11 % 180 - 90), 1) for i in range(400)]
+    df = spark.createDataFrame(points, "x double, y double, w long")
+    cells = quadtree.leaves(df, quadtree.one_tree(spark, 8), min_n=5).selectExpr("*", "depth * 1000000 + path as cell_id")
+    tagged = {(r["cell_id"], r["count"]) for r in tagging.tag(df, cells).groupBy("cell_id").count().collect()}
+    assert tagged == {(r["cell_id"], r["n"]) for r in cells.collect()}
 
 
 def test_sinks_and_stream(spark, tmp_path):
