@@ -1,4 +1,10 @@
-"""From raw documents to packed training sequences: language ID, quality rules, near duplicates, packing."""
+"""From raw documents to packed training sequences: language ID, quality rules, near duplicates, packing.
+
+Each stage but the last returns the columns of documents, extra ones too, whatever their names. Null and empty texts have no
+language and are rejected by the first stage (kept, where no row has a language to learn from, and then rejected by the
+second for want of words). Rows without an id are judged like others; of a group of copies the row with the smallest id stays,
+and of rows that repeat it all stay, like rows without an id. Ties: a probability or cosine of just the threshold is kept.
+Texts of any length are read whole. Empty tables: no rows; without labels the base rules alone decide."""
 
 from __future__ import annotations
 
