@@ -390,6 +390,19 @@ def test_summed(spark):
     assert not jaccard_join.summed(spark.createDataFrame([], "chunk int, part binary"), chunk).any()
 
 
+def test_bpe_query(spark, edge_dir):
+    """n_tokens and both digests of every row against the library and hashlib."""
+    path = P.path(bpe.RANKS)
+    other = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    for d in (edge_dir, "/root/testdata/sf0.001"):
+        expected = []
+        for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect():
+            ids = other.encode_ordinary(r["text"] or "")
+            expected.append((r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest()))
+        got = [(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows(spark, "op6_byte_level_bpe", d)]
+        assert sorted(map(repr, got)) == sorted(map(repr, expected))
+
+
 def test_bpe():
     random.seed(2)
     path = P.path(bpe.RANKS)
