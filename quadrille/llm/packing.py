@@ -7,10 +7,12 @@ permanently fixes a piece with the partner that dominates every other choice (no
 exactly; no second partner can join; no pair or triple that fits outweighs the partner), as long as one does. What is
 left is packed best-fit, longest first. Equal pieces are handled together, so time doesn't grow with the input. The
 plan's intervals map the rank of a piece among those of its length to a sequence and an offset; ranks are counted
-within hashed blocks of a length, so a length that a third of all pieces have is not gathered in one task.
+within hashed blocks of a length, so a length that a third of all pieces have is not gathered in one task, and neither are
+rows that repeat one id and text (or lack an id): a number drawn when the pieces are written deals them, too.
 
-Null text: as an empty one, a sequence part of one id. Repeated rows are packed each; equal pieces are told apart by
-id, piece and checksum, and where these tie the rows are the same. Extra columns are ignored. Texts are read whole.
+Null text: as an empty one, a sequence part of one id. No documents: no rows. Repeated rows are packed each; ties between
+pieces of a length go by id, piece, checksum and that number, and where these tie, too, the rows are the same. Extra columns
+are ignored. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -161,17 +163,17 @@ def dominating(left: np.ndarray, w: int, capacity: int) -> int | None:
 
 def pack(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The pieces (length and ids_crc32 among the columns) with sequence_id and offset."""
-    made = stored(made, "pieces")
+    made = stored(made.withColumn("__deal", (F.rand(7) * (1 << 31)).cast("int")), "pieces")  # written, so a lost task can't draw again
     counts = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity`
     rows = plan(counts, capacity)
     blocks = F.lit([max(1, -(-counts.get(n, 0) // RANKED)) for n in range(capacity + 1)])
-    block = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), blocks[F.col("length").cast("int")])
+    block = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "__deal"), blocks[F.col("length").cast("int")])
     made = made.withColumn("__block", block)
     ahead = Window.partitionBy("length").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     before = made.groupBy("length", "__block").count().select("length", "__block", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("length", "__block").orderBy("doc_id", "piece", "ids_crc32")
+    within = Window.partitionBy("length", "__block").orderBy("doc_id", "piece", "ids_crc32", "__deal")
     ranked = made.withColumn("__rank", F.row_number().over(within) - 1).join(before, ["length", "__block"])
-    ranked = ranked.withColumn("__rank", (F.col("__rank") + F.col("__before")).cast("long")).drop("__block", "__before")
+    ranked = ranked.withColumn("__rank", (F.col("__rank") + F.col("__before")).cast("long")).drop("__block", "__before", "__deal")
     base = capacity + 1
     starts = rows[:, 0] * (1 << 44) + rows[:, 1]
     carry = [c for c in ranked.columns if c != "__rank"]

@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from quadrille.llm import bpe, jaccard_join, language_id, licenses, packing, quality, registry, toxicity, warc
+from quadrille.llm.common import labelled
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, n long, key string"
@@ -175,6 +176,24 @@ def test_packing_query(spark, edge_dir):
         assert at <= 2048
 
 
+def test_packing_deals_repeated_rows(spark, monkeypatch):
+    """Rows that are all the same, without an id, are ranked in many blocks, and every rank is given once."""
+    monkeypatch.setattr(packing, "RANKED", 10)
+    docs = spark.createDataFrame([(None, "the same text")] * 3000 + [(i, "other") for i in range(500)], "doc_id long, text string")
+    by = defaultdict(list)
+    for r in packing.pack_documents(docs).collect():
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sum(map(len, by.values())) == 3500
+    for own in by.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    total = sum(n for own in by.values() for _, n in own)
+    assert len(by) == -(-total // 2048)
+
+
 def test_ranks_give_the_tokenizers_ids():
     random.seed(5)
     slow, encode = Tokenizer.from_file(P.path(packing.TOKENIZER)), packing.encoder(P.path(packing.TOKENIZER), P.path(packing.RANKS))
@@ -209,6 +228,18 @@ def test_models_on_held_out_rows(spark):
     assert np.mean([p == bool(y) for p, y in kept]) > 0.97
 
 
+def test_quality_on_rows_outside_the_fit(spark):
+    """The labelled rows of sf0.1 that the fit did not see: kept as labelled, where the base rules pass."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    fitted = {r["doc_id"] for r in labelled(docs, labels, "quality", quality.FIT_ROWS).select("doc_id").collect()}
+    told = {r["doc_id"]: r["quality"] for r in labels.where("quality is not null").collect()}
+    got = [(r["kept"], told[r["doc_id"]]) for r in rows(spark, "op3_quality_rules", d) if r["doc_id"] in told and r["doc_id"] not in fitted and not r["base_failed"]]
+    assert len(got) > 300 and {y for _, y in got} == {0, 1}
+    for y in (0, 1):
+        assert np.mean([p == bool(y) for p, z in got if z == y]) > 0.97
+
+
 def test_toxicity_recall_and_precision(spark):
     """On the held-out labelled rows of sf0.1, where 144 of 1344 are toxic."""
     d = "/root/testdata/sf0.1"
@@ -276,6 +307,20 @@ def test_language_edges(spark, edge_dir):
     assert language_id.grams(whole).sum() == 2 * len(whole) - 3
 
 
+def test_ties(spark):
+    """Two languages of the same texts: the first in alphabetic order. Repeated rows: the same score."""
+    texts = [f"ein kleiner text {i} der zweimal da steht" for i in range(40)]
+    fit = [(2 * i + k, t, lang) for i, t in enumerate(texts) for k, lang in enumerate(("zz", "aa"))]
+    model = language_id.fit(spark.createDataFrame(fit, "doc_id long, text string, lang string"))
+    assert set(language_id.judged(texts, model)[0]) == {"aa"}
+    docs = spark.createDataFrame([(i % 50, ("you awful fool " if i % 2 else "a fine day ") * 3 + f"n{i % 50}") for i in range(400)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(50)] * 3, "doc_id long, toxic int")
+    scores = defaultdict(set)
+    for r in toxicity.score(docs, toxicity.fit(docs, marks), ["doc_id"]).collect():
+        scores[r["doc_id"]].add((r["score"], r["predicted"]))
+    assert len(scores) == 50 and all(len(x) == 1 and x == scores[i % 2] for i, x in scores.items())
+
+
 def test_language_rejects_what_it_does_not_know(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language_id.fit_fold(docs)
@@ -422,9 +467,24 @@ def test_pipeline(spark, edge_dir):
         docs = stage(spark, docs, edge_dir)
         assert docs.columns == spark.read.parquet(f"{edge_dir}/documents.parquet").columns
     assert {r["doc_id"] for r in docs.select("doc_id").collect()} <= {i for i, _ in EDGES}
+    kept = Counter(r["doc_id"] for r in docs.select("doc_id").collect())
+    packed = rows(spark, "pipeline", edge_dir)
+    assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == kept
     got = corpus_pipeline.run(spark, SF)
     kept = {r["doc_id"] for r in got.select("doc_id").distinct().collect()}
     base = {r["doc_id"] for r in rows(spark, "op3_quality_rules", SF) if r["base_failed"]}
     assert not kept & base and len(kept) > 700
     left = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r["doc_id"] in kept]
     assert all(root == i for i, (_, root) in roots(left).items())
+
+
+def test_pipeline_keeps_clashing_columns(spark):
+    """Columns that the stages use inside come through a stage as they were."""
+    names = ["component_id", "root", "sid", "n", "own", "key", "comp", "__gone", "h", "__deal", "lang_pred", "kept", "n_shingles"]
+    text = " ".join(f"w{i}" for i in range(60))
+    data = [(i, t, *[f"{c}{i}" for c in names]) for i, t in enumerate([text, text, f"{text} more", None, "alone here", ""])]
+    docs = spark.createDataFrame(data, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    got = jaccard_join.one_of_each(docs)
+    assert got.columns == docs.columns and sorted(tuple(r) for r in got.select("doc_id", "component_id", "__gone").collect()) == [(i, f"component_id{i}", f"__gone{i}") for i in (0, 3, 4, 5)]
+    assert quality.accepted(docs, None).columns == docs.columns and quality.accepted(docs, None).count() == 3
+    assert packing.pack_documents(docs).count() == 6
