@@ -71,3 +71,13 @@ def test_best_first_of_points(spark, monkeypatch):
     assert kept_rows(monkeypatch, lambda: registry.QUERIES["bestfirst_points"](spark, SF)) == 0
 
 
+def test_sums_of_cells(spark):
+    points = [(float(i * 7 % 360 - 180), float(i * 11 % 180 - 90), i % 5) for i in range(400)] + [(180.0, 0.0, 9), (0.0, 90.0, 9), (500.0, 0.0, 9)]
+    df = spark.createDataFrame(points, POINT)
+    cells = quadtree.leaves(df, quadtree.one_tree(spark, 8), min_n=5).selectExpr("*", "depth * 1000000 + path as cell_id")
+    plain = tagging.tag(df, cells).groupBy("cell_id").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
+    made = tagging.sums(df, cells)
+    assert sorted(tuple(r) for r in made.collect()) == sorted(tuple(r) for r in plain.collect())
+    assert made.agg(F.sum("n")).first()[0] == 400
+
+
