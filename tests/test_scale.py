@@ -71,6 +71,16 @@ def test_best_first_of_points(spark, monkeypatch):
     assert kept_rows(monkeypatch, lambda: registry.QUERIES["bestfirst_points"](spark, SF)) == 0
 
 
+def test_few_cells_need_no_shuffle(spark, monkeypatch):
+    cells = spark.createDataFrame([(7, 0.0, 0.0, 2.0, 2.0), (8, 2.0, 0.0, 4.0, 2.0), (9, -180.0, -90.0, 180.0, 90.0)], "cell_id long, min_x double, min_y double, max_x double, max_y double")
+    rows = spark.createDataFrame([(i, i / 4, 0.0, i / 4 + i % 3, 2.0, 1) for i in range(30)], LAYER)
+    made = join.assign(cells, rows)
+    assert "Exchange hashpartitioning" not in plan(made)
+    got = sorted(tuple(r) for r in made.collect())
+    monkeypatch.setattr(join, "COMPARED", 0)
+    assert got == sorted(tuple(r) for r in join.assign(cells, rows).collect()) and len(got) > 30
+
+
 def test_sums_of_cells(spark):
     points = [(float(i * 7 % 360 - 180), float(i * 11 % 180 - 90), i % 5) for i in range(400)] + [(180.0, 0.0, 9), (0.0, 90.0, 9), (500.0, 0.0, 9)]
     df = spark.createDataFrame(points, POINT)
